@@ -170,9 +170,11 @@ def _carry(flagged: DataFrame) -> DataFrame:
     )
 
 
-def fold_sample(lines: DataFrame, schemas: Sequence[LogSchema], keys: Sequence[str]) -> DataFrame:
+def fold_sample(
+    lines: DataFrame, groups: list[list[LogSchema]], keys: Sequence[str], which: Column | None = None
+) -> DataFrame:
     """Fold a few hundred leading lines per key; used by schema detection only."""
-    flagged = lines.withColumns(_flags([list(schemas)], F.lit(0)))
+    flagged = lines.withColumns(_flags(groups, F.lit(0) if which is None else which))
     run = Window.partitionBy(*keys).orderBy("line_no")
     before = run.rowsBetween(Window.unboundedPreceding, -1)
     numbered = (

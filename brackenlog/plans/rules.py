@@ -19,7 +19,7 @@ INCLUDE, EXCLUDE = "include", "exclude"
 @dataclass(frozen=True)
 class Rule:
     field: str
-    op: str = "equals"  # equals, contains, regex, range
+    op: str = "contains"  # equals, contains, regex, range
     value: str = ""
     action: str = EXCLUDE
     log_schema: str | None = None

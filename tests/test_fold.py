@@ -65,4 +65,4 @@ def test_fold_shuffles_the_text_once(spark):
 def test_sample_fold(spark):
     rows = [("a", 1, "S x"), ("a", 2, ""), ("a", 3, "y"), ("a", 4, "S z")]
     lines = spark.createDataFrame(rows, "source string, line_no long, value string")
-    assert sorted(r.raw for r in fold_sample(lines, [START], ["source"]).collect()) == ["S x\n\ny", "S z"]
+    assert sorted(r.raw for r in fold_sample(lines, [[START]], ["source"]).collect()) == ["S x\n\ny", "S z"]
