@@ -9,7 +9,7 @@ from brackenlog.functions.regex import escape, escape_col
 
 def trim_line_end(line: Column) -> Column:
     """Drop every trailing CR and LF."""
-    return F.regexp_replace(line, r"[\r\n]+\z", "")
+    return F.rtrim(line, F.lit("\r\n"))
 
 
 def head_line(raw: Column) -> Column:

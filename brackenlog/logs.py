@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from brackenlog.operators.detect import detect_schemas, schema_sets
 from brackenlog.operators.extract import parse
-from brackenlog.operators.fold import fold_entries
+from brackenlog.operators.fold import by_line_number, fold_entries
 from brackenlog.plans.builtin import ALL_SCHEMAS, BRACKETED
 from brackenlog.plans.schema import LogSchema
 from brackenlog.sources.files import head_sample, read_heads, read_lines
@@ -39,5 +39,7 @@ def open_lines(lines: DataFrame, candidates: Sequence[LogSchema] = ALL_SCHEMAS)
     """``open_logs`` for lines that come from a table."""
     known = list({s.name: s for s in [*candidates, BRACKETED]}.values())
     assigned, sets = schema_sets(detect_schemas(head_sample(lines), candidates), known)
+    if "split" not in lines.columns:
+        lines = by_line_number(lines)
     entries = fold_entries(lines.join(assigned, "source"), known, sets)
     return parse(entries, known, sets)

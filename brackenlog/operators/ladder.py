@@ -235,7 +235,7 @@ def longest_common(left: list, right: list) -> list:
 
 def rank_ladder(ladder: DataFrame, messages: DataFrame) -> DataFrame:
     """Rungs with the number of messages of their group each one matches."""
-    hit = F.col("message").rlike(F.concat(F.lit("(?dU)"), F.col("pattern")))
+    hit = F.regexp_like("message", F.concat(F.lit("(?dU)"), F.col("pattern")))
     return (
         messages.select("key", "message")
         .join(ladder, "key")

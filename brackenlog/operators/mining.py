@@ -27,7 +27,8 @@ def message_template(message: Column) -> Column:
     """
     plain = squeeze(message)
     marked = plain
-    for stand_in, (_, test, _) in zip(_STAND_IN, SHAPES):
+    # A decimal may hold a comma, which is also punctuation a value can follow: it goes first.
+    for stand_in, (_, test, _) in sorted(zip(_STAND_IN, SHAPES), key=lambda s: s[1][0] != "decimal"):
         test = test.replace(r"\S", _IN_TOKEN)
         value = rf"(?<![^ ])((?:{_IN_TOKEN}*?{_CLING})??)(?:{test})({_CLING}*)(?![^ ])"
         marked = F.regexp_replace(marked, value, f"$1{stand_in}$2")
