@@ -1 +1,30 @@
+"""Every operator as a query over the given tables, with equivalent SQL where there is any."""
 
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    """Register a query under its function's name, with its SQL."""
+
+    def register(function):
+        key = name or function.__name__
+        if key in QUERIES:
+            raise ValueError(f"query {key} is registered twice")
+        QUERIES[key] = function
+        if sql is not None:
+            ORACLES[key] = sql
+        return function
+
+    return register
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    from brackenlog.catalog import entries, filters, live, patterns, views  # noqa: F401

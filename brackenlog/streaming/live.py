@@ -130,10 +130,10 @@ def settled(rows: DataFrame) -> DataFrame:
     )
 
 
-def detect_spool(
+def detect_segments(
     spark: SparkSession, spool: str, candidates: Sequence[LogSchema] = ALL_SCHEMAS
-) -> dict[str, list[str]]:
-    """Schema names per live source, from what its spool holds so far.
+) -> DataFrame:
+    """``source, schemas`` of live sources, from the first segment each has spooled.
 
     Run it once the first batch is captured, then start the stream with the schemas found.
     """
@@ -142,8 +142,7 @@ def detect_spool(
     sample = lines.join(first, ["source", "segment"]).select(
         "source", (F.col("pos") + 1).cast("long").alias("line_no"), "value"
     )
-    found = detect_schemas(sample, candidates, default=BRACKETED)
-    return {r.source: list(r.schemas) for r in found.collect()}
+    return detect_schemas(sample, candidates, default=BRACKETED)
 
 
 def run_to_folder(stream: DataFrame, folder: str, checkpoint: str) -> DataFrame:

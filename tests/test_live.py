@@ -63,7 +63,8 @@ def test_detection_from_the_first_batch(spark, tmp_path):
     rng = random.Random(1)
     line = "2026-06-16 10:00:01.000 [HOST:h][SERVER:S][PID:1][THR:2][Core][Trace][UID:0][SID:0][OID:0][a.cpp:1] m"
     spool(tmp_path, {"br": [line, line], "plain": ["just prose", "more"]}, 1, rng)
-    assert live.detect_spool(spark, str(tmp_path)) == {"br": ["Bracketed default"], "plain": ["Generic line"]}
+    got = {r.source: r.schemas for r in live.detect_segments(spark, str(tmp_path)).collect()}
+    assert got == {"br": ["Bracketed default"], "plain": ["Generic line"]}
 
 
 def test_live_timeline_and_stateless_operators(spark, tmp_path):
