@@ -198,10 +198,10 @@ def search_text(spark, sf_dir):
     return search(df, 'THE "in the"', plain)[0].select("conv_id", "turn", F.md5("raw").alias("text_md5"))
 
 
-@query("SELECT page_id, url FROM pages WHERE regexp_matches(html, '(?i)<h[1-3][^>]*>') AND regexp_matches(html, '(?i)href=.https?:')")
+@query("SELECT page_id, url FROM pages WHERE regexp_matches(html, '(?i)<h[1-3][^>]*>[^<]*the') AND regexp_matches(html, '(?i)href=./(for|of|is)\\b')")
 def search_regex(spark, sf_dir):
     df = table(spark, sf_dir, "pages").withColumnRenamed("html", "raw")
-    return search(df, '"/<H[1-3][^>]*>/" /href=.https?:/', plain)[0].select("page_id", "url")
+    return search(df, r'"/<H[1-3][^>]*>[^<]*THE/" "/href=./(for|of|is)\b/"', plain)[0].select("page_id", "url")
 
 
 @query(LOG + IDS + "level = 'Warn' AND concat('M', user_id % 5) = 'M4'")
