@@ -17,6 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where the scan has fewer tasks than that, as for one small file.
+
+    A large table is scanned by many tasks already and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def text(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd HH:mm:ss.SSSSSS")
 
@@ -53,7 +62,7 @@ def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with their log entry in ``raw``."""
     level, code, message = _parts(_SPARK)
     return (
-        table(spark, sf_dir, "events")
+        spread(table(spark, sf_dir, "events"))
         .withColumn("stamp", text(F.col("ts")))
         .withColumn("level", F.expr(level))
         .withColumn("code", F.expr(code))
@@ -96,7 +105,7 @@ def log_sql() -> str:
 
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return by_line_number(split_text(docs, "text", F.concat(F.lit("doc-"), F.col("doc_id"))))
 
 

@@ -45,6 +45,7 @@ _DIRECTIVES = {
     "%": "%",
 }
 _COMPOUND = {"F": "%Y-%m-%d", "T": "%H:%M:%S", "R": "%H:%M"}
+_ISO = re.compile(r"%Y-%m-%d(?P<sep>[ T])%H:%M:%S(?:(?P<dot>[.,])(?P<f>%f|%3f)|(?P<fixed>%\.3f))?")
 _TOKEN = re.compile(r"%(\.?[369]?f|:z|[A-Za-z%])|(\s+)|([^%\s]+)")
 
 
@@ -84,6 +85,16 @@ def parse_time(text: Column, fmt: str) -> Column:
     if not {"Y", "d", "H", "M"} <= parts or not parts & {"m", "b"}:
         return null  # no full date and time of day: never an event time
     value = F.trim(text)
+    iso = _ISO.fullmatch(fmt)
+    if iso:
+        # Already in the order the cast reads: the usual case needs a test, not a rewrite.
+        digits = {"%f": "[0-9]{1,6}", "%3f": "[0-9]{3}", None: ""}[iso.group("f")]
+        dot = escape(iso.group("dot") or "")
+        if iso.group("fixed"):
+            dot, digits = r"\.", "[0-9]{3}"
+        shape = rf"\A[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}{iso.group('sep')}[0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}{dot}{digits}\z"
+        plain = F.replace(text, F.lit(","), F.lit(".")) if dot == "," else text
+        quick = F.when(text.rlike(shape), plain.try_cast("timestamp_ntz"))
     parsed = _rearranged(value, pattern, parts)
     if "%f" in fmt:
         # Seven to nine digits are a count of nanoseconds, not a left-aligned fraction.
@@ -93,7 +104,7 @@ def parse_time(text: Column, fmt: str) -> Column:
         parsed = F.coalesce(
             parsed, F.when(digits != "", _rearranged(F.concat(head, micros, tail), pattern, parts))
         )
-    return parsed
+    return F.coalesce(quick, parsed) if iso else parsed
 
 
 def _rearranged(value: Column, pattern: str, parts: set[str]) -> Column:

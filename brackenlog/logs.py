@@ -39,6 +39,10 @@ def open_lines(lines: DataFrame, candidates: Sequence[LogSchema] = ALL_SCHEMAS)
     """``open_logs`` for lines that come from a table."""
     known = list({s.name: s for s in [*candidates, BRACKETED]}.values())
     assigned, sets = schema_sets(detect_schemas(head_sample(lines), candidates), known)
+    # Columns are built for the schemas that occur, not for the whole library.
+    used = sorted({i for order in sets for i in order})
+    known = [known[i] for i in used]
+    sets = [[used.index(i) for i in order] for order in sets]
     if "split" not in lines.columns:
         lines = by_line_number(lines)
     entries = fold_entries(lines.join(assigned, "source"), known, sets)

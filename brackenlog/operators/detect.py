@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from brackenlog.functions.text import is_blank
 from brackenlog.operators.extract import _pick
@@ -41,41 +41,40 @@ def detect_single(sample: DataFrame, candidates: Sequence[LogSchema]) -> DataFra
     return found.groupBy("source").agg(F.min_by("schema_name", "_rank").alias("schema_name"))
 
 
-def detect_set(sample: DataFrame, candidates: Sequence[LogSchema]) -> DataFrame:
-    """Schemas that are the best match of a fifth of the lines, most specific first."""
+def _sets(sample: DataFrame, candidates: Sequence[LogSchema]) -> DataFrame:
+    """``source, schemas`` of every source; empty where no schema wins a fifth of the lines."""
     ordered = by_specificity([s for s in candidates if s.name != GENERIC.name])
     line = F.col("value")
     first = F.coalesce(*[F.when(s.parses(line), i) for i, s in enumerate(ordered)], F.lit(-1))
-    counts = (
-        sample.filter(~is_blank(line)).groupBy("source", first.alias("_rank")).agg(F.count(F.lit(1)).alias("lines"))
-    )
-    lines = F.sum("lines").over(Window.partitionBy("source"))
-    kept = counts.withColumn("_lines", lines).filter(
-        (F.col("_rank") >= 0) & (F.col("lines") * 5 >= F.col("_lines"))
-    )
-    names = F.array(*[F.lit(s.name) for s in ordered])
-    # One element per schema of the library at most.
-    return kept.groupBy("source").agg(
-        F.transform(F.array_sort(F.collect_list("_rank")), lambda i: F.get(names, i)).alias("schemas")
+    filled = ~is_blank(line)
+    ranked = sample.select("source", filled.alias("_filled"), F.when(filled, first).alias("_rank"))
+    counts = ranked.groupBy("source").agg(
+        F.count_if("_filled").alias("_lines"),
+        *[F.count_if(F.col("_rank") == i).alias(f"_c{i}") for i in range(len(ordered))],
     )
+    winners = [
+        F.when((F.col(f"_c{i}") > 0) & (F.col(f"_c{i}") * 5 >= F.col("_lines")), F.lit(s.name))
+        for i, s in enumerate(ordered)
+    ]
+    return counts.select("source", F.array_compact(F.array(*winners)).alias("schemas"))
+
+
+def detect_set(sample: DataFrame, candidates: Sequence[LogSchema]) -> DataFrame:
+    """Schemas that are the best match of a fifth of the lines, most specific first."""
+    return _sets(sample, candidates).filter(F.size("schemas") > 0)
 
 
 def detect_schemas(
     sample: DataFrame, candidates: Sequence[LogSchema], default: LogSchema = BRACKETED
 ) -> DataFrame:
     """``source, schemas``: the set, else the single best, else the default."""
-    sources = sample.select("source").distinct()
-    several = detect_set(sample, candidates)
-    single = detect_single(sample, candidates)
-    return (
-        sources.join(several, "source", "left")
-        .join(single, "source", "left")
-        .select(
-            "source",
-            F.coalesce(
-                "schemas", F.when(F.col("schema_name").isNotNull(), F.array("schema_name")), F.array(F.lit(default.name))
-            ).alias("schemas"),
-        )
+    several = _sets(sample, candidates)
+    # Folding under every candidate is for the sources that need it only.
+    open_sources = several.filter(F.size("schemas") == 0).select("source")
+    single = detect_single(sample.join(open_sources, "source", "left_semi"), candidates)
+    found = F.coalesce("schema_name", F.lit(default.name))
+    return several.join(single, "source", "left").select(
+        "source", F.when(F.size("schemas") > 0, F.col("schemas")).otherwise(F.array(found)).alias("schemas")
     )
 
 

@@ -153,6 +153,48 @@ class LogSchema:
             body += escape(self.trailer)
         return f"(?ds{'U' if unicode_classes else ''})\\A{body}"
 
+    def _header(self, wanted) -> str:
+        """Pattern of the header with a fast form in front.
+
+        A free field is the shortest text before the literal behind it. Where that literal
+        holds a character the field does not, the two meet at one place only, and a greedy
+        class finds it without trying every offset. The fast form (groups s<position>) takes
+        lines where this holds for every field; others, and templates with patterns of
+        their own, take the lazy form (groups f<position>), with the same result.
+        """
+        lazy = self._assemble(header_only=True, wanted=wanted)
+        if self.field_patterns:
+            return lazy
+        body = ""
+        for index, slot in enumerate(self.slots[:-1]):
+            behind = self._literals_behind(index)
+            stops = [c for c in behind[0] if all(c in text for text in behind)]
+            stops.sort(key=lambda c: (c.isspace() or c.isalnum(), behind[0].index(c)))
+            if not stops:
+                return lazy
+            keep = wanted is None or slot.name in wanted
+            stop = "\\" + stops[0] if not stops[0].isalnum() and stops[0] != " " else stops[0]
+            run = f"[^{stop}]*" + ("+" if all(text[0] == stops[0] for text in behind) else "")
+            group = f"(?<s{index}>{run})" if keep else run
+            literal = escape(slot.literal)
+            if slot.optional:
+                after = escape(behind[0])
+                # Missing only where the lazy form could not find it further on either.
+                body += f"(?:{literal}{group}(?={after})|(?!{literal}.*?{after}))"
+            else:
+                body += literal + group
+        flags, _, rest = lazy.partition("\\A")
+        return f"{flags}\\A(?:{body}{escape(self.slots[-1].literal)}|{rest})"
+
+    def _literals_behind(self, index: int) -> list[str]:
+        """Literals that may follow a field; several where optional fields come next."""
+        out = []
+        for slot in self.slots[index + 1 :]:
+            out.append(slot.literal)
+            if not slot.optional:
+                break
+        return out
+
     @cached_property
     def full_pattern(self) -> str:
         return self._assemble(header_only=False, wanted=())
@@ -214,9 +256,12 @@ class LogSchema:
     def _cells(self, text: Column, wanted: list[str], tail: bool) -> Column:
         if tail and len(self.slots) == 1 and not self.slots[0].literal:
             return F.array(F.lit(""), text)  # the template is the message alone
-        header = self._assemble(header_only=tail, wanted=wanted)
+        header = self._header(wanted) if tail else self._assemble(header_only=False, wanted=wanted)
         names = [n for n in wanted if not (tail and n == self.message_field)]
-        refs = "".join(f"{MARK}${{f{self.fields.index(n)}}}" for n in names)
+        forms = "sf" if "(?<s" in header else "f"
+        refs = "".join(
+            MARK + "".join(f"${{{form}{self.fields.index(n)}}}" for form in forms) for n in names
+        )
         count = len(names) + 2
         fast = F.split(F.regexp_replace(text, header, refs + MARK), MARK, count)
         # A head that holds the marker itself gets one longer than any run in it.

@@ -196,3 +196,39 @@ def test_elapsed_text(spark):
     cases = {-28812000: "-28.812s", 0: "+0ms", 116531000: "+1m56.531s", 123644000: "+2m03.644s", None: "-", 3723004000: "+1h02m03.004s"}
     df = spark.createDataFrame([(c,) for c in cases], "g long")
     assert {r.g: r.t for r in df.select("g", elapsed_text(F.col("g")).alias("t")).collect()} == cases
+
+
+def test_fast_and_lazy_header_forms_agree(spark):
+    import random
+    import re
+
+    from pyspark.sql import Row
+
+    rng = random.Random(7)
+    schemas = [
+        BRACKETED,
+        LogSchema("o", "[<a>][<b?>][C:<c>] <m>"),
+        LogSchema("p", "<a>: <b> - <c?>; <m>"),
+        LogSchema("q", "<a?>x<b> [<c>] <m>"),
+        LogSchema("r", "<a><b> <m>"),
+    ]
+    for schema in schemas:
+        pieces = [s.literal for s in schema.slots] + ["a", "]", "[", " ", "-", ":", "][", "C:", "x", "\\"]
+        texts = []
+        for _ in range(400):
+            full = "".join(
+                ("" if s.optional and rng.random() < 0.5 else s.literal + "".join(rng.choices(pieces[-10:], k=rng.randint(0, 2))))
+                for s in schema.slots
+            )
+            at = rng.randint(0, len(full))
+            texts.append(full if rng.random() < 0.6 else full[:at] + rng.choice(pieces) + full[at:])
+        lazy = schema._assemble(header_only=True)
+        lazy = re.sub(r"^\(\?ds\)\\A", "(?s)\\\\A", lazy).replace("(?<", "(?P<")
+        df = spark.createDataFrame([Row(i=i, raw=t) for i, t in enumerate(texts)])
+        for r in parse(df, schema, time=False).collect():
+            found = re.match(lazy, r.raw)
+            if not found:
+                assert r.fields[schema.message_field] == r.raw
+                continue
+            want = [found.group(f"f{i}") or "" for i in range(len(schema.slots) - 1)] + [r.raw[found.end():]]
+            assert list(r.fields) == want, (schema.name, r.raw)
