@@ -70,6 +70,25 @@ def shape_of(token: Column) -> Column:
     return out
 
 
+def shape_mask(token: Column) -> Column:
+    """Bit per shape the token has; tokens of a column share the shapes in the AND of theirs."""
+    bits = None
+    for i, (_, test, _) in enumerate(SHAPES):
+        bit = F.when(shape_test(token, test), 1 << i).otherwise(0)
+        bits = bit if bits is None else bits + bit
+    # A word has no digit, quote or dash and needs one test instead of eight.
+    return F.when(token.rlike("""[0-9'"-]"""), bits).otherwise(0)
+
+
+def shape_in(mask: Column) -> Column:
+    """Pattern of the first shape in a mask, or null."""
+    out = None
+    for i, (_, _, pattern) in enumerate(SHAPES):
+        hit = mask.bitwiseAND(1 << i) != 0
+        out = F.when(hit, pattern) if out is None else out.when(hit, pattern)
+    return out
+
+
 def strip_affix(token: Column) -> Column:
     """The token without clinging punctuation at either end."""
     cls = r"[,;:=()\[\]{}<>!?#]"
@@ -88,5 +107,5 @@ def common_prefix_len(low: Column, high: Column) -> Column:
 
 __all__ = [
     "AFFIX", "SHAPES", "common_prefix_len", "contains_ignore_case", "escape", "escape_col",
-    "head_line", "is_blank", "shape_of", "shape_test", "strip_affix", "trim_line_end",
+    "head_line", "is_blank", "shape_in", "shape_mask", "shape_of", "shape_test", "strip_affix", "trim_line_end",
 ]

@@ -33,7 +33,8 @@ def _before(source: str):
 
 
 def _after(source: str):
-    return over_blocks(source).rowsBetween(1, Window.unboundedFollowing)
+    # Frames that reach to the end cost quadratic time in Spark; the reverse order does not.
+    return Window.partitionBy(source).orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def carried(df: DataFrame, carry: DataFrame, source: str) -> DataFrame:
@@ -136,7 +137,8 @@ def near_match(
         .withColumn("_at", F.when(F.col(is_match), F.col("_pos")))
     )
     up = in_block(source, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    down = in_block(source, order).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    backwards = Window.partitionBy(source, "_block").orderBy(F.desc(order))
+    down = backwards.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     back = F.col("_pos") - F.coalesce(F.max("_at").over(up), "_prev")
     ahead = F.coalesce(F.min("_at").over(down), "_next") - F.col("_pos")
     close = F.coalesce(back <= n, F.lit(False)) | F.coalesce(ahead <= n, F.lit(False))

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from brackenlog.functions.regex import escape_col
-from brackenlog.functions.text import SHAPES, common_prefix_len, shape_test
+from brackenlog.functions.text import SHAPES, common_prefix_len, shape_in, shape_mask, shape_test
 from brackenlog.operators.mining import message_template, squeeze
 
 # Names of the rungs, loosest strategy first.
@@ -92,37 +92,52 @@ def _keeps_text(text: Column) -> Column:
 
 def _columns(tokens: DataFrame, groups: DataFrame) -> DataFrame:
     """One row per token position of a group: what its tokens have in common."""
-    flags = {name: F.bool_and(shape_test(F.col("token"), test)).alias(f"all_{name}") for name, test, _ in SHAPES}
+    # Distinct tokens first: a shape is tested once for each, whatever the number of messages.
+    tokens = tokens.groupBy("key", "at", "token").agg(F.count(F.lit(1)).alias("copies"))
     columns = tokens.groupBy("key", "at").agg(
-        F.min("token").alias("low"), F.max("token").alias("high"), F.count(F.lit(1)).alias("filled"), *flags.values()
-    ).withColumn("class", _first_class("all_"))
+        F.min("token").alias("low"),
+        F.max("token").alias("high"),
+        F.sum("copies").alias("filled"),
+        F.bit_and(shape_mask(F.col("token"))).alias("mask"),
+    ).withColumn("class", shape_in(F.col("mask")))
     columns = columns.join(groups.select("key", "texts", F.expr("narrow = wide").alias("equal")), "key")
     same = F.col("low") == F.col("high")
 
-    # A column of mixed tokens without a shape may still be one with a constant head and tail.
+    # A column of mixed tokens without a shape may still be one with a constant head and
+    # tail. Heads and tails travel with the rows, so that each step reads only the last.
     open_columns = columns.filter(F.col("equal") & ~same & F.col("class").isNull()).select(
-        "key", "at", common_prefix_len(F.col("low"), F.col("high")).alias("cut"), F.col("low").alias("sample")
+        "key",
+        "at",
+        common_prefix_len(F.col("low"), F.col("high")).alias("cut"),
+        F.col("low").alias("sample"),
+    )
+    tails = tokens.join(open_columns, ["key", "at"]).select(
+        "key",
+        "at",
+        F.expr("substring(sample, 1, cut)").alias("head"),
+        F.reverse(F.expr("substring(token, cut + 1)")).alias("tail"),
     )
-    tails = tokens.join(open_columns.select("key", "at", "cut"), ["key", "at"]).select(
-        "key", "at", F.reverse(F.expr("substring(token, cut + 1)")).alias("tail")
+    feet = (
+        tails.groupBy("key", "at")
+        .agg(F.min("tail").alias("low"), F.max("tail").alias("high"))
+        .select("key", "at", "low", common_prefix_len(F.col("low"), F.col("high")).alias("foot"))
     )
-    feet = tails.groupBy("key", "at").agg(F.min("tail").alias("low"), F.max("tail").alias("high")).select(
-        "key", "at", common_prefix_len(F.col("low"), F.col("high")).alias("foot"), F.col("low").alias("tail_sample")
+    cores = tails.join(feet, ["key", "at"]).select(
+        "key",
+        "at",
+        "head",
+        F.reverse(F.expr("substring(low, 1, foot)")).alias("foot_text"),
+        F.reverse(F.expr("substring(tail, foot + 1)")).alias("core"),
     )
-    cores = tails.join(feet, ["key", "at"]).select("key", "at", F.reverse(F.expr("substring(tail, foot + 1)")).alias("core"))
-    classes = cores.groupBy("key", "at").agg(
-        *[F.bool_and(shape_test(F.col("core"), test)).alias(f"core_{name}") for name, test, _ in SHAPES]
-    ).withColumn("core_class", _first_class("core_"))
     affixed = (
-        open_columns.join(feet, ["key", "at"])
-        .join(classes.select("key", "at", "core_class"), ["key", "at"])
-        .select(
-            "key",
-            "at",
-            "core_class",
-            F.expr("substring(sample, 1, cut)").alias("head"),
-            F.reverse(F.expr("substring(tail_sample, 1, foot)")).alias("foot_text"),
+        cores.groupBy("key", "at")
+        .agg(
+            F.bit_and(shape_mask(F.col("core"))).alias("core_mask"),
+            F.any_value("head").alias("head"),
+            F.any_value("foot_text").alias("foot_text"),
         )
+        .select("key", "at", "head", "foot_text", shape_in(F.col("core_mask")).alias("core_class"))
+        .filter("core_class IS NOT NULL")
     )
     columns = columns.join(affixed, ["key", "at"], "left")
     literal = escape_col(F.col("low"))
@@ -149,14 +164,6 @@ def _columns(tokens: DataFrame, groups: DataFrame) -> DataFrame:
     )
 
 
-def _first_class(prefix: str) -> Column:
-    out = None
-    for name, _, pattern in SHAPES:
-        hit = F.col(prefix + name)
-        out = F.when(hit, pattern) if out is None else out.when(hit, pattern)
-    return out
-
-
 def _aligned(columns: DataFrame) -> DataFrame:
     """Token positions joined to patterns; a group has as many as its longest message."""
     first_gap = F.min(F.when(~F.col("shared"), F.col("at")))

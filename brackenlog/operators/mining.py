@@ -14,6 +14,24 @@ _STAND_IN = ("\t", "\n", "\x0b", "\f", "\r", "\x85", "\u2028", "\u2029")
 _IN_TOKEN = r"[^ \t\n\x0B\f\r\x{85}\x{2028}\x{2029}]"
 
 
+def _value_pattern() -> str:
+    """One pattern for every value of a message followed by a line feed and the stand-ins.
+
+    Each shape, once its token is found to end there, looks ahead and captures its own
+    stand-in, so that one replacement text serves all of them.
+    """
+    shapes = []
+    for i, (_, test, _) in enumerate(SHAPES):
+        test = test.replace(r"\S", _IN_TOKEN)
+        own = rf"(?=[^\n]*+\n.{{{i}}}(?<m{i}>.))"
+        shapes.append(rf"(?:{test})(?<t{i}>{_CLING}*)(?![^ \n]){own}")
+    return rf"(?s)(?<![^ ])(?<h>(?:{_IN_TOKEN}*?{_CLING})??)(?:{'|'.join(shapes)})"
+
+
+_VALUE = _value_pattern()
+_VALUE_REPLACED = "${h}" + "".join(f"${{m{i}}}${{t{i}}}" for i in range(len(SHAPES)))
+
+
 def squeeze(message: Column) -> Column:
     """White space trimmed and every run of it made one blank."""
     return F.trim(F.regexp_replace(message, r"(?U)\s+", " "))
@@ -25,16 +43,18 @@ def message_template(message: Column) -> Column:
     A value is the longest tail of a token that has a known shape and begins the token or
     follows punctuation. Words stay as they are. A message of values alone stays literal.
     """
-    plain = squeeze(message)
-    marked = plain
-    # A decimal may hold a comma, which is also punctuation a value can follow: it goes first.
-    for stand_in, (_, test, _) in sorted(zip(_STAND_IN, SHAPES), key=lambda s: s[1][0] != "decimal"):
-        test = test.replace(r"\S", _IN_TOKEN)
-        value = rf"(?<![^ ])((?:{_IN_TOKEN}*?{_CLING})??)(?:{test})({_CLING}*)(?![^ ])"
-        marked = F.regexp_replace(marked, value, f"$1{stand_in}$2")
+    bound = F.array(F.struct(message.alias("m"), squeeze(message).alias("p")))
+    return F.get(F.transform(bound, lambda both: _template(both["m"], both["p"])), F.lit(0))
+
+
+def _template(message: Column, plain: Column) -> Column:
+    key_text = "\n" + "".join(_STAND_IN)
+    marked = F.regexp_replace(F.concat(plain, F.lit(key_text)), _VALUE, _VALUE_REPLACED)
+    marked = F.regexp_replace(marked, rf"(?s).{{{len(key_text)}}}\z", "")
     # Most messages of prose hold nothing that could be a value.
     marked = F.when(plain.rlike(r"""[0-9'"]|[0-9a-fA-F]{8}-"""), marked).otherwise(plain)
-    return F.when(plain != "", F.transform(F.array(marked), lambda m: _pattern(m, message))[0])
+    pattern = F.get(F.transform(F.array(marked), lambda m: _pattern(m, message)), F.lit(0))
+    return F.when(plain != "", pattern)
 
 
 def _pattern(marked: Column, message: Column) -> Column:
