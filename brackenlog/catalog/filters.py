@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from brackenlog.catalog import query
 from brackenlog.catalog.entries import DOCS, LOG, f
-from brackenlog.catalog.logs import document_lines, event_log, table, user_logs, user_logs_sql
+from brackenlog.catalog.logs import document_lines, event_log, spread, table, user_logs, user_logs_sql
 from brackenlog.operators.extract import Lookup, parse
 from brackenlog.operators.stats import count_matches, pattern_hits, preview_rows, rule_hits, rule_preview, with_rule_hits
 from brackenlog.plans.builtin import BRACKETED, GENERIC, LOG4J2, SAVED_SEARCHES
@@ -242,7 +242,7 @@ _TAGS = ", ".join(
 
 @query(f"SELECT doc_id, concat_ws('|', {_TAGS}) AS tags FROM documents")
 def search_saved(spark, sf_dir):
-    df = table(spark, sf_dir, "documents").withColumnRenamed("text", "raw")
+    df = spread(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("raw")))
     return tag(df, SAVED_SEARCHES, plain).select("doc_id", F.array_join("tags", "|").alias("tags"))
 
 

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from brackenlog.catalog import query
 from brackenlog.catalog.entries import LOG, f
 from brackenlog.catalog.filters import parsed
-from brackenlog.catalog.logs import table, text
+from brackenlog.catalog.logs import spread, table, text
 from brackenlog.functions.text import shape_of, strip_affix
 from brackenlog.operators.ladder import pattern_ladder, rank_ladder
 from brackenlog.operators.mining import message_template, templates
+from brackenlog.session import fresh_dir
 
 _CLING = r"[,;:=()\[\]{}<>!?#]"
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
@@ -76,7 +77,7 @@ def passage_templates(spark, sf_dir):
     WHEN regexp_full_match(core, '"\S*"') AND length(core) > 1 THEN 'double_quoted' ELSE 'word' END AS shape FROM cores)
   SELECT shape, count(*) AS tokens FROM named GROUP BY 1""")
 def token_shapes(spark, sf_dir):
-    tokens = table(spark, sf_dir, "documents").select(F.explode(F.split("text", r"\s+")).alias("tok")).filter("tok <> ''")
+    tokens = spread(table(spark, sf_dir, "documents").select("text")).select(F.explode(F.split("text", r"\s+")).alias("tok")).filter("tok <> ''")
     shape = F.coalesce(shape_of(strip_affix(F.col("tok"))), F.lit("word"))
     return tokens.groupBy(shape.alias("shape")).agg(F.count(F.lit(1)).alias("tokens"))
 
@@ -85,7 +86,10 @@ def _selections(spark, sf_dir):
     """Messages of one user and level are a selection; there are as many as users."""
     df = parsed(spark, sf_dir, wanted=["thread_id", "log_level", "message"])
     key = F.concat(f("thread"), F.lit(" "), f("level"))
-    return df.select(key.alias("key"), F.col("entry_index").alias("order"), f("message").alias("message"))
+    messages = df.select(key.alias("key"), F.col("entry_index").alias("order"), f("message").alias("message"))
+    folder = fresh_dir(spark, "messages")
+    messages.write.parquet(folder)  # the ladder reads them several times; parse them once
+    return spark.read.parquet(folder)
 
 
 @query(name="pattern_ladder")
