@@ -6,10 +6,19 @@ from pyspark.sql import functions as F
 
 from brackenlog.catalog import query
 from brackenlog.catalog.logs import table
+from brackenlog.llm import lang_id
+from brackenlog.llm.quality import judge
+from brackenlog.llm.substring_dedup import dedup_substrings
 
 _WORDS_SQL = r"list_filter(string_split_regex(coalesce({text}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
-from brackenlog.llm.substring_dedup import dedup_substrings  # noqa: E402
+
+
+@query()
+def op1_lang_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", lang_id.held_out("doc_id"))
+    net = lang_id.train(docs.where("NOT held_out").select("text", "lang"))
+    return lang_id.predict(docs.select("doc_id", "text", "held_out"), net).select("doc_id", "held_out", "lang_pred", "score")
 
 
 @query(
@@ -28,3 +37,9 @@ FROM d LEFT JOIN g ON d.r = g.r"""
 def op2_substring_dedup(spark, sf_dir):
     found = dedup_substrings(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query()
+def op10_adaptive_quality(spark, sf_dir):
+    judged = judge(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
