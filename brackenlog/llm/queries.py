@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
 from brackenlog.catalog import query
 from brackenlog.catalog.logs import table
-from brackenlog.llm import lang_id
+from brackenlog.llm import lang_id, token_store
 from brackenlog.llm.quality import judge
 from brackenlog.llm.substring_dedup import dedup_substrings
+from brackenlog.session import fresh_dir
 
 _WORDS_SQL = r"list_filter(string_split_regex(coalesce({text}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
@@ -39,6 +41,13 @@ def op2_substring_dedup(spark, sf_dir):
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+@query()
+def op7_token_store(spark, sf_dir):
+    folder = fresh_dir(spark, "tokens")
+    token_store.write(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"))
+    return token_store.read(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 @query()
 def op10_adaptive_quality(spark, sf_dir):
     judged = judge(table(spark, sf_dir, "documents"))
