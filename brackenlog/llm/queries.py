@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from brackenlog.catalog import query
 from brackenlog.catalog.logs import table
-from brackenlog.llm import lang_id, token_store
+from brackenlog.llm import lang_id, mixing, token_store
 from brackenlog.llm.quality import judge
 from brackenlog.llm.substring_dedup import dedup_substrings
 from brackenlog.session import fresh_dir
@@ -48,6 +48,13 @@ def op7_token_store(spark, sf_dir):
     return token_store.read(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+@query()
+def op9_systematic_mixing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.n_words().alias("words"))
+    mixed = mixing.mix(docs, size=F.col("words"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 @query()
 def op10_adaptive_quality(spark, sf_dir):
     judged = judge(table(spark, sf_dir, "documents"))
