@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from brackenlog.catalog import query
 from brackenlog.catalog.logs import table
-from brackenlog.llm import lang_id, mixing, token_store
+from brackenlog.llm import lang_id, mixing, token_store, warc
 from brackenlog.llm.quality import judge
 from brackenlog.llm.substring_dedup import dedup_substrings
 from brackenlog.session import fresh_dir
@@ -41,6 +41,23 @@ def op2_substring_dedup(spark, sf_dir):
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+_BASE32_SQL = """translate({x}, '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567')"""
+_DIGEST_SQL = _BASE32_SQL.format(x=" || ".join(f"lpad(to_base(('0x' || sha1(html)[{1 + 10 * k}:{10 + 10 * k}])::BIGINT, 32), 8, '0')" for k in range(4)))
+
+
+@query(
+    f"""WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+m AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes, {_DIGEST_SQL} AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to FROM m"""
+)
+def op3_warc(spark, sf_dir):
+    folder = fresh_dir(spark, "warc")
+    warc.write(warc.decide(table(spark, sf_dir, "pages")), folder)
+    return warc.pages(warc.read(spark, folder)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query()
 def op7_token_store(spark, sf_dir):
     folder = fresh_dir(spark, "tokens")
