@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from brackenlog.catalog import query
 from brackenlog.catalog.logs import table
-from brackenlog.llm import lang_id, mixing, token_store, warc
+from brackenlog.llm import lang_id, mixing, pieces, token_store, warc
 from brackenlog.llm.quality import judge
 from brackenlog.llm.substring_dedup import dedup_substrings
 from brackenlog.session import fresh_dir
@@ -58,6 +58,11 @@ def op3_warc(spark, sf_dir):
     return warc.pages(warc.read(spark, folder)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query()
+def op6_sentencepiece(spark, sf_dir):
+    return pieces.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query()
 def op7_token_store(spark, sf_dir):
     folder = fresh_dir(spark, "tokens")
