@@ -249,6 +249,8 @@ def predict(docs: DataFrame, net: Network) -> DataFrame:
     )
     out = given.select(*[f"`{c}`" for c in given.columns if c != "__letters"], F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"))
 
+    columns = out.columns
+
     def run(batches):
         for batch in batches:
             texts = column_bytes(batch, "text")
@@ -259,8 +261,8 @@ def predict(docs: DataFrame, net: Network) -> DataFrame:
                 best = p.argmax(1)
                 for row, i in enumerate(use):
                     names[i], scores[i] = net.labels[best[row]], min(1.0, float(p[row, best[row]]))
-            kept = [batch.column(c) for c in out.columns[:-2]]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(names), pa.array(scores, pa.float64())], out.columns)
+            kept = [batch.column(c) for c in columns[:-2]]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(names), pa.array(scores, pa.float64())], columns)
 
     return given.mapInArrow(run, out.schema)
 
