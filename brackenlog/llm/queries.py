@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from brackenlog.catalog import query
 from brackenlog.catalog.logs import table
-from brackenlog.llm import lang_id, mixing, pieces, token_store, warc
+from brackenlog.llm import lang_id, mixing, pieces, token_store, url_filter, warc
 from brackenlog.llm.quality import judge
 from brackenlog.llm.substring_dedup import dedup_substrings
 from brackenlog.session import fresh_dir
@@ -70,6 +70,21 @@ def op7_token_store(spark, sf_dir):
     return token_store.read(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+URL_RULES = [
+    url_filter.UrlRule("allow", "org/"),
+    url_filter.UrlRule("block", "example.org/es/"),
+    url_filter.UrlRule("block", "example.org/en/1"),
+    url_filter.UrlRule("allow", "com/fr/"),
+    url_filter.UrlRule("block", "com/de/"),
+]
+
+
+@query()
+def op8_link_graph_filter(spark, sf_dir):
+    judged = url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
+
+
 @query()
 def op9_systematic_mixing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.n_words().alias("words"))
