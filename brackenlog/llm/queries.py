@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from brackenlog.catalog import query
 from brackenlog.catalog.logs import table
 from brackenlog.llm import lang_id, mixing, pieces, token_store, url_filter, warc
+from brackenlog.llm.near_dedup import near_duplicates
 from brackenlog.llm.quality import judge
 from brackenlog.llm.substring_dedup import dedup_substrings
 from brackenlog.session import fresh_dir
@@ -58,6 +59,23 @@ def op3_warc(spark, sf_dir):
     return warc.pages(warc.read(spark, folder)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query(
+    rf"""WITH RECURSIVE d AS (
+  SELECT doc_id, {_WORDS_SQL.format(text="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w)))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT i.a, i.b FROM i JOIN n x ON x.doc_id = i.a JOIN n y ON y.doc_id = i.b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+r(a, c) AS (SELECT DISTINCT a, a FROM l UNION SELECT l.a, r.c FROM r JOIN l ON l.b = r.a),
+c AS (SELECT a, min(c) AS c FROM r GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c.c, d.doc_id) AS component_id, coalesce(c.c, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.a = d.doc_id"""
+)
+def op4_lsh_forest(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op6_sentencepiece(spark, sf_dir):
     return pieces.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
