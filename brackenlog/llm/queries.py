@@ -11,6 +11,7 @@ from brackenlog.llm import lang_id, mixing, pieces, token_store, url_filter, war
 from brackenlog.llm.near_dedup import near_duplicates
 from brackenlog.llm.quality import judge
 from brackenlog.llm.substring_dedup import dedup_substrings
+from brackenlog.llm.vector_dedup import near_duplicate_vectors
 from brackenlog.session import fresh_dir
 
 _WORDS_SQL = r"list_filter(string_split_regex(coalesce({text}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -76,6 +77,22 @@ def op4_lsh_forest(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query(
+    """WITH RECURSIVE e AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+r(a, c) AS (SELECT DISTINCT a, a FROM l UNION SELECT l.a, r.c FROM r JOIN l ON l.b = r.a),
+c AS (SELECT a, min(c) AS c FROM r GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT x.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, coalesce(c.c, x.vec_id) AS component_id, coalesce(c.c, x.vec_id) = x.vec_id AS kept
+FROM embeddings x LEFT JOIN c ON c.a = x.vec_id LEFT JOIN n ON n.a = x.vec_id"""
+)
+def op5_pivot_permutation(spark, sf_dir):
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 @query()
 def op6_sentencepiece(spark, sf_dir):
     return pieces.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
