@@ -34,8 +34,6 @@ WINDOW = 13
 FLUSH_WORDS = 1_500_000
 NO_ID = np.iinfo(np.int64).max
 
-_RESULT = "doc_id long, n_words long, n_removed long, intervals array<struct<start:long,end:long>>, kept_text string"
-
 
 def _pack(*arrays: np.ndarray) -> bytes:
     """Arrays as one block. Hashes do not compress; all others do."""
@@ -192,17 +190,15 @@ def intervals(starts: np.ndarray, n: int, window: int) -> tuple[np.ndarray, np.n
     return covered, np.stack([np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)], 1)
 
 
-def _removed(window: int):
-    schema = pa.schema(
-        [
-            ("doc_id", pa.int64()),
-            ("n_words", pa.int64()),
-            ("n_removed", pa.int64()),
-            ("intervals", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-            ("kept_text", pa.string()),
-        ]
-    )
+_FOUND = [
+    ("n_words", pa.int64()),
+    ("n_removed", pa.int64()),
+    ("intervals", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+    ("kept_text", pa.string()),
+]
 
+
+def _removed(window: int, rejoin: bool):
     def run(docs: pa.Table, marks: pa.Table) -> pa.Table:
         docs = docs.combine_chunks()
         ids, ordinals, pos = _marks(marks.column("blob").to_pylist())
@@ -216,35 +212,45 @@ def _removed(window: int):
             words = text.split() if text else []
             starts = found.get((NO_ID if i is None else i, ordinal))
             if starts is None:
-                out.append((i, len(words), 0, [], b" ".join(words)))
+                out.append((len(words), 0, [], b" ".join(words) if rejoin else text))
                 continue
             covered, spans = intervals(starts, len(words), window)
             kept = b" ".join(compress(words, (~covered).tolist()))
-            out.append((i, len(words), int(covered.sum()), [{"start": int(a), "end": int(b)} for a, b in spans], kept))
-        columns = list(zip(*out)) if out else [[]] * 5
-        return pa.table([pa.array(columns[k], schema.types[k]) if k < 4 else pa.array(columns[4], pa.binary()).cast(pa.string()) for k in range(5)], schema=schema)
+            out.append((len(words), int(covered.sum()), [{"start": int(a), "end": int(b)} for a, b in spans], kept))
+        columns = list(zip(*out)) if out else [[]] * 4
+        arrays = [pa.array(c, pa.binary()).cast(t) if name == "kept_text" else pa.array(c, t) for c, (name, t) in zip(columns, _FOUND)]
+        given = docs.drop_columns(["text", "dest"])
+        return pa.table([*given.columns, *arrays], [*given.column_names, *(name for name, _ in _FOUND)])
 
     return run
 
 
-def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``doc_id, n_words, n_removed, intervals, kept_text`` for every row of ``docs``.
+def dedup_substrings(docs: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = (), rejoin: bool = True) -> DataFrame:
+    """``doc_id``, the columns ``keep``, ``n_words, n_removed, intervals, kept_text`` for every row.
 
     ``intervals`` are the maximal word ranges ``[start, end)`` that went, ``kept_text`` the other
-    words joined by one space. Other columns are ignored, whatever their names.
+    words joined by one space; without ``rejoin`` a text that loses nothing stays as it is. Other
+    columns are ignored, whatever their names.
 
     Defined cases: a null, empty or short text keeps all its words (``kept_text`` is ``""`` for
-    null). Windows repeated inside one document, or only among rows that share a doc_id, stay.
-    Rows that repeat a doc_id with other texts are judged one by one. A null doc_id counts as
-    larger than any other. An empty table gives an empty result.
+    null, or null without ``rejoin``). Windows repeated inside one document, or only among rows
+    that share a doc_id, stay. Rows that repeat a doc_id with other texts are judged one by one.
+    A null doc_id counts as larger than any other. An empty table gives an empty result.
     """
     width = shuffle_width(docs.sparkSession)
     dealt = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        docs.select(
+            F.col("doc_id").cast("long").alias("doc_id"),
+            *(F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keep)),
+            F.col("text").cast("string").alias("text"),
+        )
         .withColumn("dest", F.pmod(F.xxhash64("doc_id"), F.lit(2 * width)).cast("int"))
         .repartition(width, "dest")
         .sortWithinPartitions("dest", "doc_id", "text")
     )
     windows = dealt.mapInArrow(_windows(window, width), "bucket int, dest int, blob binary")
     marks = windows.groupBy("bucket").applyInArrow(_owned, "dest int, blob binary")
-    return dealt.groupBy("dest").cogroup(marks.groupBy("dest")).applyInArrow(_removed(window), _RESULT)
+    kept = "".join(f"_k{i} {dealt.schema[f'_k{i}'].dataType.simpleString()}, " for i in range(len(keep)))
+    shape = f"doc_id long, {kept}n_words long, n_removed long, intervals array<struct<start:long,end:long>>, kept_text string"
+    found = dealt.groupBy("dest").cogroup(marks.groupBy("dest")).applyInArrow(_removed(window, rejoin), shape)
+    return found.select("doc_id", *(F.col(f"_k{i}").alias(k) for i, k in enumerate(keep)), "n_words", "n_removed", "intervals", "kept_text")
