@@ -34,7 +34,7 @@ from brackenlog.session import shuffle_width
 MAGIC = b"DAC1"
 BLOCK = 512
 SEGMENT_TOKENS = 1 << 19
-MEMO_WORDS = 400_000
+MEMO_WORDS = 1_200_000
 END_ID = 2
 
 
