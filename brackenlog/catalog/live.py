@@ -14,30 +14,56 @@ from brackenlog.session import fresh_dir, shuffle_width
 from brackenlog.streaming import live
 
 
-def spooled(spark, sf_dir) -> str:
-    """Write the event log as time-ordered segments of one folder per event type."""
+def spooled(spark, sf_dir, written_in_order: bool = False) -> str:
+    """Write the event log as time-ordered segments of one folder per event type.
+
+    A collector writes segments one after another. Spark's tasks do not, so with
+    ``written_in_order`` the files are dated by their names.
+    """
     folder = fresh_dir(spark, "spool")
     df = rendered(spark, sf_dir).select("event_type", "event_id", "raw")
     ordered = df.repartitionByRange(shuffle_width(spark), "event_id").sortWithinPartitions("event_type", "event_id")
     ordered.select("event_type", "raw").write.partitionBy("event_type").text(folder)
+    if written_in_order:
+        _date_by_name(spark, folder)
     return folder
 
 
-def _folded(spark, sf_dir):
-    lines = live.spool_lines(spark, spooled(spark, sf_dir))
+def _date_by_name(spark, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found, files = [], fs.listFiles(path, True)
+    while files.hasNext():
+        found.append(files.next().getPath())
+    for second, file in enumerate(sorted(found, key=lambda p: (p.getName(), p.toString()))):
+        fs.setTimes(file, 1_700_000_000_000 + 1000 * second, -1)
+
+
+def _folded(spark, sf_dir, segments_per_batch=None):
+    spool = spooled(spark, sf_dir, written_in_order=segments_per_batch is not None)
+    lines = live.spool_lines(spark, spool, segments_per_batch=segments_per_batch)
     stream = live.fold_stream(lines, BRACKETED)
     rows = live.run_to_folder(stream, fresh_dir(spark, "entries"), fresh_dir(spark, "progress"))
     return live.settled(rows)
 
 
-@query(LOG + """, placed AS (SELECT concat('event_type=', event_type) AS source, event_id, raw,
+_FOLDED_SQL = LOG + """, placed AS (SELECT concat('event_type=', event_type) AS source, event_id, raw,
     length(raw) - length(replace(raw, chr(10), '')) + 1 AS n FROM log)
   SELECT source, (row_number() OVER w - 1)::BIGINT AS entry_index, (sum(n) OVER w - n + 1)::BIGINT AS line_no, md5(raw) AS raw_md5
-  FROM placed WINDOW w AS (PARTITION BY source ORDER BY event_id)""")
+  FROM placed WINDOW w AS (PARTITION BY source ORDER BY event_id)"""
+
+
+@query(_FOLDED_SQL)
 def live_fold(spark, sf_dir):
     return _folded(spark, sf_dir).select("source", "entry_index", "line_no", F.md5("raw").alias("raw_md5"))
 
 
+@query(_FOLDED_SQL)
+def live_fold_in_batches(spark, sf_dir):
+    """Segments in several batches, so that entries stay open across them."""
+    return _folded(spark, sf_dir, segments_per_batch=8).select("source", "entry_index", "line_no", F.md5("raw").alias("raw_md5"))
+
+
 @query(LOG + " SELECT event_id::VARCHAR AS line, message FROM log WHERE level = 'Error' AND code <> ''")
 def live_filter(spark, sf_dir):
     """Fields and rules on a stream are the batch operators."""
@@ -46,7 +72,7 @@ def live_filter(spark, sf_dir):
     rules = [Rule("level", "equals", "Error", "include"), Rule("error_code", "equals", "", "exclude")]
     shown = apply_rules(parse(entries, BRACKETED, time=False), rules, f)
     rows = live.run_to_folder(
-        shown.select("source", "entry_index", "line_no", "raw", "provisional"),
+        shown.select("source", "entry_index", "line_no", "raw", "provisional", "late_segment"),
         fresh_dir(spark, "shown"),
         fresh_dir(spark, "progress"),
     )
@@ -56,10 +82,12 @@ def live_filter(spark, sf_dir):
 
 @query(LOG + """ SELECT strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d') AS day, level AS key, count(*) AS entries FROM log GROUP BY ALL""")
 def live_timeline(spark, sf_dir):
-    """Counts per day and level, updated as segments arrive."""
-    # Head lines only: continuation lines have no time and would be dropped anyway.
-    lines = live.spool_lines(spark, spooled(spark, sf_dir)).withColumnRenamed("value", "raw")
-    parsed = parse(lines, BRACKETED, wanted=["timestamp", "log_level"]).filter(F.col("ts").isNotNull())
+    """Counts per day and level, updated as entries arrive: one stream folds, the next counts."""
+    lines = live.spool_lines(spark, spooled(spark, sf_dir))
+    entries = fresh_dir(spark, "entries")
+    folded = live.run_to_folder(live.fold_stream(lines, BRACKETED), entries, fresh_dir(spark, "progress"))
+    stream = spark.readStream.schema(folded.schema).parquet(entries).filter("first")
+    parsed = parse(stream, BRACKETED, wanted=["timestamp", "log_level"]).filter(F.col("ts").isNotNull())
     counted = live.live_timeline(parsed, f("level"), "1 day", "400 days")
     folder = fresh_dir(spark, "timeline")
     query = (

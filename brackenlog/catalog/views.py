@@ -89,6 +89,12 @@ def first(spark, sf_dir):
     return first_rows(df, 50, "entry_index").select("entry_index", "raw")
 
 
+@query(LOG + " SELECT event_id AS entry_index, raw FROM log WHERE level <> 'Trace' ORDER BY 1 LIMIT 500", name="first_rows_500")
+def more_first(spark, sf_dir):
+    df = parsed(spark, sf_dir).filter(f("level") != "Trace")
+    return first_rows(df, 500, "entry_index").select("entry_index", "raw")
+
+
 @query("SELECT source, count(*) AS entries FROM (SELECT 'events' AS source FROM events UNION ALL SELECT 'chats' FROM conversations) GROUP BY 1", name="union_sources")
 def union(spark, sf_dir):
     """Sources with different fields stacked; a field one of them lacks is empty."""

@@ -51,5 +51,5 @@ def match_ordinals(matches: DataFrame, order: str = "entry_index", source: str =
 
 
 def first_rows(df: DataFrame, n: int, *order) -> DataFrame:
-    """First rows of a view; a top-k report of 1 to 50 rows."""
-    return df.orderBy(*order).limit(max(1, min(n, 50)))
+    """The first ``n`` rows of a view, in order."""
+    return df.orderBy(*order).limit(n)

@@ -51,44 +51,49 @@ def list_files(spark: SparkSession, folder: str) -> list[str]:
     return sorted(s.getPath().toString() for s in fs.listStatus(root) if s.isFile())
 
 
-def read_heads(spark: SparkSession, paths: Sequence[str], limit: int = SAMPLE_LINES) -> DataFrame:
-    """First lines of many files, ``source, line_no, value, is_binary``.
+def read_heads(spark: SparkSession, paths: Sequence[str] | DataFrame, limit: int = SAMPLE_LINES) -> DataFrame:
+    """First lines of many files, ``source, line_no, value``; ``paths`` may be a column ``source``.
 
     A Spark scan would read the files to their ends; here each task opens its share of the
     paths and stops early. Bytes that are not UTF-8 are replaced: a guess at the schema
     should not fail on one of them.
     """
-    paths = spark.createDataFrame([(p,) for p in paths], "source string")
-    width = max(1, min(shuffle_width(spark), 1 << 12))
-    return paths.repartition(width, "source").mapInPandas(
-        partial(_heads, limit=limit), "source string, line_no long, value string, is_binary boolean"
-    )
+    return _opened(spark, paths).mapInPandas(partial(_heads, limit=limit), "source string, line_no long, value string")
+
+
+def _opened(spark: SparkSession, paths: Sequence[str] | DataFrame) -> DataFrame:
+    if not isinstance(paths, DataFrame):
+        paths = spark.createDataFrame([(p,) for p in paths], "source string")
+    return paths.repartition(shuffle_width(spark), "source")
 
 
 def _heads(frames, limit: int):
     for frame in frames:
         for path in frame["source"]:
-            system, inner = _open_system(path)
-            with system.open_input_stream(inner) as stream:
-                start = stream.read(HEAD_BYTES)
-                data = start
-                while data.count(b"\n") < limit:
-                    more = stream.read(1 << 16)
-                    if not more:
-                        break
-                    data += more
-            lines = data.split(b"\n")
+            data, feeds = [], 0
+            for chunk in _chunks(path, 1 << 16):
+                data.append(chunk)
+                feeds += chunk.count(b"\n")
+                if feeds >= limit:
+                    break
+            lines = b"".join(data).split(b"\n")
             if lines[-1] == b"":
                 lines.pop()
             lines = [line.decode("utf-8", "replace").rstrip("\r") for line in lines[:limit]]
-            yield pd.DataFrame(
-                {
-                    "source": path,
-                    "line_no": range(1, len(lines) + 1),
-                    "value": lines,
-                    "is_binary": b"\0" in start,
-                }
-            )
+            yield pd.DataFrame({"source": path, "line_no": range(1, len(lines) + 1), "value": lines})
+
+
+def _binary(frames):
+    for frame in frames:
+        marked = [b"\0" in next(_chunks(path, HEAD_BYTES), b"") for path in frame["source"]]
+        yield pd.DataFrame({"source": frame["source"], "is_binary": marked})
+
+
+def _chunks(path: str, size: int):
+    system, inner = _open_system(path)
+    with system.open_input_stream(inner) as stream:
+        while chunk := stream.read(size):
+            yield chunk
 
 
 def _open_system(path: str):
@@ -101,7 +106,7 @@ def _open_system(path: str):
 def text_files(spark: SparkSession, folder: str, skip_hidden: bool = False) -> list[str]:
     """Text files directly in a folder, by name. A NUL near the start means binary."""
     found = list_files(spark, folder)
-    heads = read_heads(spark, found, limit=1)
+    heads = _opened(spark, found).mapInPandas(_binary, "source string, is_binary boolean")
     binary = {r.source for r in heads.filter("is_binary").select("source").collect()}
     kept = [p for p in found if p not in binary]
     hidden = [p for p in kept if _is_hidden(p)]

@@ -103,8 +103,8 @@ def test_lines_keep_lone_carriage_returns(spark, folder):
     rows = read_lines(spark, [str(folder / "cr.log")] * 2).orderBy("pos").collect()
     assert [r.value for r in rows] == ["one\rstill one", "two", ""]
     heads = read_heads(spark, [str(folder / "cr.log"), str(folder / "bin.dat")], limit=2).collect()
-    assert sorted((os.path.basename(r.source), r.line_no, r.value, r.is_binary) for r in heads) == [
-        ("bin.dat", 1, "text\0binary", True), ("cr.log", 1, "one\rstill one", False), ("cr.log", 2, "two", False)]
+    assert sorted((os.path.basename(r.source), r.line_no, r.value) for r in heads) == [
+        ("bin.dat", 1, "text\0binary"), ("cr.log", 1, "one\rstill one"), ("cr.log", 2, "two")]
 
 
 def test_utf8(spark, folder):

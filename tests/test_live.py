@@ -98,3 +98,33 @@ def test_quiet_sources_emit_their_open_entry_once_timed_out(spark, tmp_path):
     assert [(r.raw, r.provisional) for r in rows] == [("S one\nx", True)]
     with pytest.raises(ValueError):
         live.fold_stream(lines, [START], provisional="sometimes")
+
+
+def test_late_segments_are_reported_and_entries_counted_once(spark, tmp_path):
+    folder = tmp_path / "spool" / "a"
+    folder.mkdir(parents=True)
+
+    def step(**segments):
+        for name, text in segments.items():
+            (folder / f"{name}.log").write_text(text)
+        lines = live.spool_lines(spark, str(tmp_path / "spool"))
+        return live.run_to_folder(live.fold_stream(lines, [START]), str(tmp_path / "out"), str(tmp_path / "check"))
+
+    step(n2="S one\nx\n", n4="y\n")
+    step(n3="S late\n", n1="S later\n")
+    rows = step(n5="S two\n")
+    assert sorted(r.late_segment for r in rows.filter("late_segment IS NOT NULL").collect()) == ["n1.log", "n3.log"]
+    got = sorted((r.entry_index, r.raw, r.provisional) for r in live.settled(rows).collect())
+    assert got == [(0, "S one\nx\ny", False), (1, "S two", True)]
+    assert sorted(r.entry_index for r in rows.filter("first").collect()) == [0, 1]
+    # The batch of late segments changed nothing, so nothing was emitted again.
+    assert rows.filter("late_segment IS NULL").count() == 3
+
+
+def test_sources_of_different_formats_fold_in_one_stream(spark, tmp_path):
+    rng = random.Random(9)
+    spool(tmp_path / "spool", {"s": ["S a", "b", "S c", "S d"], "b": ["{", "x", "}", "{", "}", "{"]}, 2, rng)
+    lines = live.spool_lines(spark, str(tmp_path / "spool")).withColumn("schema_set", (F.col("source") == "b").cast("int"))
+    rows = live.run_to_folder(live.fold_stream(lines, [START, BOTH], sets=[[0], [1]]), str(tmp_path / "out"), str(tmp_path / "check"))
+    got = sorted((r.source, r.entry_index, r.raw) for r in live.settled(rows).collect())
+    assert got == [("b", 0, "{\nx\n}"), ("b", 1, "{\n}"), ("b", 2, "{"), ("s", 0, "S a\nb"), ("s", 1, "S c"), ("s", 2, "S d")]
