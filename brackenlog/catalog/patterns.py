@@ -9,7 +9,7 @@ from brackenlog.catalog.entries import LOG, f
 from brackenlog.catalog.filters import parsed
 from brackenlog.catalog.logs import spread, table, text
 from brackenlog.functions.text import shape_of, strip_affix
-from brackenlog.operators.ladder import pattern_ladder, rank_ladder
+from brackenlog.operators.ladder import exact_alternations as exact_patterns_of, pattern_ladder, rank_ladder
 from brackenlog.operators.mining import message_template, templates
 from brackenlog.session import fresh_dir
 
@@ -112,9 +112,8 @@ _ESC_MSG = _ESC.format(r"regexp_replace(message, '^\s+|\s+$', '', 'g')")
 
 
 @query(LOG + f""", seen AS (SELECT concat(user_id, ' ', level) AS key, {_ESC_MSG} AS text, min(event_id) AS nth FROM log GROUP BY ALL)
-  SELECT key, concat('(?:', string_agg(text, '|' ORDER BY nth), ')') AS pattern FROM seen GROUP BY key HAVING count(*) > 1""")
+  SELECT key, concat('(?:', string_agg(text, '|' ORDER BY nth), ')') AS pattern FROM seen GROUP BY key""")
 def exact_patterns(spark, sf_dir):
-    """The exact rung of selections with several different messages."""
-    ladder = pattern_ladder(_selections(spark, sf_dir))
-    return ladder.filter("rung = 'exact' AND contains(pattern, '|')").select("key", "pattern")
+    """The exact rung of every selection."""
+    return exact_patterns_of(_selections(spark, sf_dir)).select("key", F.concat(F.lit("(?:"), "exact", F.lit(")")).alias("pattern"))
 

@@ -7,6 +7,7 @@ not associative, runs in Python, streaming over sorted rows.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -24,11 +25,7 @@ def pattern_ladder(messages: DataFrame) -> DataFrame:
     Also ``is_default``: typed, else loose if it carries half of the shortest message, else
     exact; no default for a single message.
     """
-    texts = (
-        messages.select("key", "order", F.regexp_replace("message", r"(?U)\A\s+|\s+\z", "").alias("text"))
-        .groupBy("key", "text")
-        .agg(F.min("order").alias("order"), F.count(F.lit(1)).alias("n"))
-    )
+    texts = _texts(messages)
     width = F.when(F.col("text") == "", 0).otherwise(F.size(F.split(squeeze(F.col("text")), " ")))
     groups = texts.groupBy("key").agg(
         F.sum("n").alias("n"),
@@ -38,12 +35,7 @@ def pattern_ladder(messages: DataFrame) -> DataFrame:
         F.max(F.when(F.col("text") != "", F.col("text"))).alias("lone"),
     )
     tokens = texts.filter("text != ''").select("key", F.posexplode(F.split(squeeze(F.col("text")), " ")).alias("at", "token"))
-    exact = (
-        texts.filter("text != ''")
-        .withColumn("text", escape_col(F.col("text")))
-        .groupBy("key")
-        .agg(F.expr("listagg(text, '|') within group (order by `order`)").alias("exact"))
-    )
+    exact = _joined(texts)
     columns = _columns(tokens, groups)
     aligned = _aligned(columns)
     common = common_tokens(texts)
@@ -84,6 +76,25 @@ def pattern_ladder(messages: DataFrame) -> DataFrame:
     )
 
 
+def _texts(messages: DataFrame) -> DataFrame:
+    """Distinct trimmed messages of each group, with their first place and number."""
+    return (
+        messages.select("key", "order", F.regexp_replace("message", r"(?U)\A\s+|\s+\z", "").alias("text"))
+        .groupBy("key", "text")
+        .agg(F.min("order").alias("order"), F.count(F.lit(1)).alias("n"))
+    )
+
+
+def _joined(texts: DataFrame) -> DataFrame:
+    escaped = texts.filter("text != ''").withColumn("text", escape_col(F.col("text")))
+    return escaped.groupBy("key").agg(F.expr("listagg(text, '|') within group (order by `order`)").alias("exact"))
+
+
+def exact_alternations(messages: DataFrame) -> DataFrame:
+    """``key, exact``: the alternatives of the exact rung, without building the other rungs."""
+    return _joined(_texts(messages))
+
+
 def _keeps_text(text: Column) -> Column:
     """Whether some token of a lone message is not a bare value."""
     tests = "|".join(test for _, test, _ in SHAPES)
@@ -222,20 +233,27 @@ def _fold_common(frames):
 
 
 def longest_common(left: list, right: list) -> list:
-    """Longest common subsequence; among equals, tokens of ``left`` are skipped first."""
-    best = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
-    for i, a in reversed(list(enumerate(left))):
-        row, below = best[i], best[i + 1]
-        for j, b in reversed(list(enumerate(right))):
-            row[j] = below[j + 1] + 1 if a == b else max(below[j], row[j + 1])
-    out, i, j = [], 0, 0
-    while i < len(left) and j < len(right):
-        if left[i] == right[j]:
-            out.append(left[i])
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            i += 1
-        else:
+    """Longest common subsequence; among equals, tokens of ``left`` are skipped first.
+
+    ``kept[i]`` holds, for every tail of ``right``, how much of it the tail ``left[i:]`` shares.
+    A row follows from the next one by a running maximum, so only rows are looped over.
+    """
+    codes: dict = {}
+    x, y = (np.array([codes.setdefault(t, len(codes)) for t in tokens], np.int64) for tokens in (left, right))
+    kept = np.zeros((len(x) + 1, len(y) + 1), np.int32)
+    for i in range(len(x) - 1, -1, -1):
+        reach = np.where(y == x[i], kept[i + 1, 1:] + 1, kept[i + 1, :-1])
+        kept[i, :-1] = np.maximum.accumulate(reach[::-1])[::-1]
+    out, j = [], 0
+    for i, token in enumerate(left):
+        # Of what is left of ``right``, the first place that this token takes or may be skipped at.
+        takes = y[j:] == x[i]
+        stops = np.flatnonzero(takes | (kept[i + 1, j:-1] >= kept[i, j + 1 :]))
+        if not len(stops):
+            break
+        j += int(stops[0])
+        if takes[stops[0]]:
+            out.append(token)
             j += 1
     return out
 

@@ -1,183 +1,173 @@
+"""Mined patterns by what must hold of them, and a handful of cases of our own."""
+
 import random
 import re
+from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
 
-from brackenlog.functions.regex import escape
-from brackenlog.operators.ladder import longest_common, pattern_ladder, rank_ladder
+from brackenlog.operators.ladder import RUNGS, longest_common, pattern_ladder, rank_ladder
 from brackenlog.operators.mining import message_template, templates
 
-INT, HEX, IP = r"\d+", "0[xX][0-9a-fA-F]+", r"\d{1,3}(?:\.\d{1,3}){3}"
-UUID = "[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"
-
-TEMPLATES = {
-    "Session 900 created for user analyst": r"Session\s+\d+\s+created\s+for\s+user\s+analyst",
-    "timeout after 30s, retry=4;": r"timeout\s+after\s+30s,\s+retry=\d+;",
-    "cache miss": r"cache\s+miss",
-    "900": "900",
-    "  900  1.5 ": "900  1\\.5",
-    "   ": None,
-    "from 10.0.0.5, to (10.0.0.256)": rf"from\s+{IP},\s+to\s+\(10\.0\.0\.256\)",
-    "code 0x80 id=800424FB x1 decade": rf"code\s+{HEX}\s+id=[0-9a-fA-F]+\s+x1\s+decade",
-    "u 8ea1c0de-1111-2222-3333-444455556666!": rf"u\s+{UUID}!",
-    "name='a=5' say=\"b\" 1,5 a=b=7": r'''name='[^']*'\s+say="[^"]*"\s+\d+[.,]\d+\s+a=b=\d+''',
-    "x='a='b' ('": r"x='[^']*'\s+\('",
-    "tab\there\nnow 5": r"tab\s+here\s+now\s+\d+",
+#: One way to vary each kind of value; the token around it stays the same word.
+KINDS = {
+    "integer": lambda rng: str(rng.randrange(10**6)),
+    "decimal": lambda rng: f"{rng.randrange(1000)}.{rng.randrange(10, 99)}",
+    "hex": lambda rng: f"0x{rng.randrange(1 << 32):x}",
+    "ipv4": lambda rng: ".".join(str(rng.randrange(256)) for _ in range(4)),
+    "uuid": lambda rng: "-".join(f"{rng.randrange(16**n):0{n}x}" for n in (8, 4, 4, 4, 12)),
+    "quoted": lambda rng: f"'{rng.choice(['north', 'south', 'west'])}'",
 }
+WORDS = ["valve", "opened", "by", "pump", "after", "reset", "(main)", "ok.", "50%", "a|b", "[x]"]
+
+
+def sentence(rng, kind):
+    """A line of words with one value, as a function of the value."""
+    words = rng.sample(WORDS, 4)
+    at = rng.randrange(5)
+    lead, tail = rng.choice([("", ""), ("n=", ""), ("(", ")"), ("", ",")])
+    return lambda: " ".join([*words[:at], lead + KINDS[kind](rng) + tail, *words[at:]]), words
+
+
+@pytest.mark.parametrize("kind", sorted(KINDS))
+def test_a_template_matches_other_values_and_no_other_words(spark, kind):
+    rng = random.Random(kind)
+    made = [sentence(rng, kind) for _ in range(25)]
+    texts = [make() for make, _ in made]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: r.p for r in df.select("i", message_template(F.col("t")).alias("p")).collect()}
+    for i, (make, words) in enumerate(made):
+        pattern = re.compile(got[i])
+        assert pattern.fullmatch(texts[i])
+        assert all(pattern.fullmatch(make()) for _ in range(5)), (texts[i], got[i])
+        for w in words:
+            assert not pattern.fullmatch(texts[i].replace(w, "other", 1)), (texts[i], got[i])
+
+
+def test_templates_of_our_own_lines(spark):
+    cases = {
+        "pump 12 primed": r"pump\s+\d+\s+primed",
+        "quiet night": r"quiet\s+night",
+        "   ": None,
+        "8472": "8472",
+        "level at 99.999.1.2": r"level\s+at\s+99\.999\.1\.2",
+    }
+    df = spark.createDataFrame([(t,) for t in cases], "t string")
+    assert {r.t: r.p for r in df.select("t", message_template(F.col("t")).alias("p")).collect()} == cases
 
 
-def test_templates_of_single_messages(spark):
-    df = spark.createDataFrame([(t,) for t in TEMPLATES], "t string")
-    got = {r.t: r.p for r in df.select("t", message_template(F.col("t")).alias("p")).collect()}
-    assert got == TEMPLATES
-
-
-# ---- sequential model ---------------------------------------------------------------
-
-CLING = ",;:=()[]{}<>!?#"
-
-
-def is_ip(v):
-    parts = v.split(".")
-    return len(parts) == 4 and all(p.isascii() and p.isdigit() and int(p) <= 255 for p in parts)
-
-
-CLASSES = [
-    (lambda v: re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", v), UUID),
-    (is_ip, IP),
-    (lambda v: re.fullmatch(r"0[xX][0-9a-fA-F]+", v), HEX),
-    (lambda v: re.fullmatch(r"[0-9]+", v), INT),
-    (lambda v: re.fullmatch(r"[0-9]+[.,][0-9]+", v), r"\d+[.,]\d+"),
-    (lambda v: re.fullmatch(r"[0-9a-fA-F]{6,}", v) and re.search("[0-9]", v) and re.search("[a-fA-F]", v), "[0-9a-fA-F]+"),
-    (lambda v: len(v) > 1 and v[0] == v[-1] == "'", "'[^']*'"),
-    (lambda v: len(v) > 1 and v[0] == v[-1] == '"', '"[^"]*"'),
-]
-
-
-def shape(values):
-    if not all(values):
-        return None
-    return next((p for test, p in CLASSES if all(test(v) for v in values)), None)
-
-
-def lone(token):
-    lead = len(token) - len(token.lstrip(CLING))
-    body = token[lead:].rstrip(CLING)
-    for i in range(len(body)):
-        if (i == 0 or body[i - 1] in CLING) and shape([body[i:]]):
-            head, tail = token[: lead + i], token[lead + len(body):]
-            return escape(head) + shape([body[i:]]) + escape(tail), bool(head or tail)
-    return escape(token), True
-
-
-def column(tokens, typed):
-    if len(set(tokens)) == 1:
-        return escape(tokens[0]), True
-    if not typed:
-        return r"\S+", False
-    if shape(tokens):
-        return shape(tokens), False
-    head = 0
-    while all(len(t) > head and t[head] == tokens[0][head] for t in tokens):
-        head += 1
-    tails, foot = [t[head:] for t in tokens], 0
-    while all(len(t) > foot and t[-1 - foot] == tails[0][-1 - foot] for t in tails):
-        foot += 1
-    found = shape([t[: len(t) - foot] for t in tails])
-    if not found:
-        return r"\S+", False
-    pre, post = tokens[0][:head], tails[0][len(tails[0]) - foot :]
-    return escape(pre) + found + escape(post), bool(pre or post)
-
-
-def model(messages):
-    lists = [m.split() for m in messages]
-    if not any(lists):
-        return {}, None
-    common = lists[0]
-    for tokens in lists[1:]:
-        common = longest_common(common, tokens)
-    shared = 0
-    while all(len(t) > shared and t[shared] == lists[0][shared] for t in lists):
-        shared += 1
-    equal = len({len(t) for t in lists}) == 1
-
-    def aligned(typed):
-        if not equal:
-            return None
-        cols = list(zip(*lists))
-        parts = [lone(c[0]) if typed and len(lists) == 1 else column(c, typed) for c in cols]
-        return r"\s+".join(p for p, _ in parts) if any(a for _, a in parts) else None
-
-    distinct = list(dict.fromkeys(m.strip() for m in messages if m.strip()))
-    exact = "(?:" + "|".join(map(escape, distinct)) + ")"
-    loose = ".*".join(map(escape, common)) or None
-    rungs = {
-        "loose": loose,
-        "prefix": r"\s+".join(map(escape, lists[0][:shared])) + ".*" if shared else None,
-        "wildcard": aligned(False) if len(lists) > 1 else None,
-        "typed": aligned(True),
-        "exact": exact,
-    }
-    out = {}
-    for name, pattern in rungs.items():
-        if pattern and pattern not in out.values():
-            out[name] = pattern
-    default = None
-    if len(lists) > 1:
-        short = min(map(len, lists))
-        default = rungs["typed"] or (loose if short and 2 * len(common) >= short else exact)
-    return out, default
-
-
-FIXED = [
-    ["a 1 c", "a 2 c"], ["a x1 c", "a 2y c"], ["5", "7"], ["same", "same"], ["alpha beta"], ["  ", " "], ["alpha", "gamma delta"],
-    ["Cache miss for session 12", "Cache miss for user bob in session 13"], ["session id=1 opened", "session id=27 opened"],
-    ["x 0x800424FB y", "x 0x8004010C y"], ["the quick brown fox", "the slow purple elephant here"], ["a b", " "], ["900"], ["900 1.5"],
-    ["# Log 2.0", "N : closed. 'ip-1'", "N : closed. 'ip-2'"], ["é1é x", "é22é x"], ["id=a id=a", "id=ab id=b"],
-]
-WORDS = ["a", "b", "id=1", "id=22", "id=x", "1", "23", "1.5", "'q'", "'r'", "0x1", "800424FB", "7,", "8,", "10.0.0.1", "10.0.0.2", ""]
-
-
-def test_ladders_equal_the_sequential_model(spark):
-    rng = random.Random(3)
-    groups = list(FIXED)
-    for _ in range(80):
-        width, varied = rng.randint(1, 4), rng.random() < 0.4
-        groups.append([" ".join(rng.choices(WORDS, k=rng.randint(1, 4) if varied else width)) for _ in range(rng.randint(1, 4))])
-    rows = [(k, i, m) for k, g in enumerate(groups) for i, m in enumerate(g)]
+def test_random_tokens_match_their_own_template(spark):
+    rng = random.Random(17)
+    texts = ["w " + "".join(rng.choices("cd47.,=y0-#(", k=rng.randint(1, 9))) for _ in range(3000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", message_template(F.col("t")).alias("p")).collect():
+        assert re.fullmatch(r.p, r.t), r
+
+
+def common_by_trial(a, b):
+    """Length of the longest common subsequence, from all subsequences of the shorter list."""
+    def within(part, whole):
+        rest = iter(whole)
+        return all(t in rest for t in part)
+
+    a, b = sorted((a, b), key=len)
+    return next(n for n in range(len(a), -1, -1) if any(within(c, b) for c in combinations(a, n)))
+
+
+def test_longest_common_is_common_and_longest():
+    rng = random.Random(2)
+    for _ in range(400):
+        a, b = (rng.choices("rstu", k=rng.randrange(8)) for _ in range(2))
+        got = longest_common(a, b)
+        for whole in (a, b):
+            rest = iter(whole)
+            assert all(t in rest for t in got)
+        assert len(got) == common_by_trial(a, b)
+    # Of two equally long ones, that which skips tokens of the first list.
+    assert longest_common(["r", "s"], ["s", "r"]) == ["s"]
+    assert longest_common([], ["r"]) == [] == longest_common(["r"], [])
+
+
+def groups(rng):
+    """Selections: values that vary, a changing word, different lengths, copies, blanks."""
+    out = []
+    for k in range(60):
+        make, words = sentence(rng, rng.choice(sorted(KINDS)))
+        members = [make() for _ in range(rng.randint(1, 4))]
+        if k % 4 == 1:
+            members = [m.replace(words[0], rng.choice(["red", "blue"]), 1) for m in members]
+        if k % 4 == 2:
+            members = [m + " again" * rng.randrange(3) for m in members]
+        if k % 10 == 3:
+            members.append(members[0])
+        if k % 10 == 7:
+            members.append("  ")
+        out.append(members)
+    return [*out, ["  ", " "], ["left", "right turn"]]
+
+
+def test_ladders(spark):
+    rng = random.Random(11)
+    made = groups(rng)
+    rows = [(k, i, m) for k, g in enumerate(made) for i, m in enumerate(g)]
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "key int, order int, message string")
-    got, default = {}, {}
-    for r in pattern_ladder(df).collect():
-        got.setdefault(r.key, {})[r.rung] = r.pattern
-        if r.is_default:
-            default[r.key] = r.pattern
-    for k, g in enumerate(groups):
-        want, first = model(g)
-        assert got.get(k, {}) == want, g
-        assert default.get(k) == first, g
+    ladder = pattern_ladder(df).collect()
+    by_key = {}
+    for r in ladder:
+        by_key.setdefault(r.key, {})[r.rung] = r
+    for k, members in enumerate(made):
+        rungs, filled = by_key.get(k, {}), [m.strip() for m in members if m.strip()]
+        if not filled:
+            assert not rungs
+            continue
+        assert set(rungs) <= set(RUNGS)
+        assert len({r.pattern for r in rungs.values()}) == len(rungs)
+        for name, r in rungs.items():
+            # What a rung says holds of all messages; blank ones are left to the exact rung's default.
+            search = re.fullmatch if name in ("wildcard", "typed", "exact") else re.search
+            assert all(search(r.pattern, m) for m in filled), (members, name, r.pattern)
+        if "prefix" in rungs:
+            assert len({m.split()[0] for m in filled}) == 1
+        defaults = [r for r in rungs.values() if r.is_default]
+        assert len(defaults) == (len(members) > 1)
+        if defaults and "typed" in rungs:
+            assert defaults[0].rung == "typed" or defaults[0].pattern == rungs["typed"].pattern
+
+
+def test_rungs_of_our_own_selections(spark):
+    made = {
+        0: ["door 4 shut", "door 9 shut"],
+        1: ["tank low", "valve open now"],
+        2: ["rain in bay 3", "rain over bay 44 again"],
+        3: ["x(7)", "x(81)"],
+    }
+    df = spark.createDataFrame([(k, i, m) for k, g in made.items() for i, m in enumerate(g)], "key int, order int, message string")
+    got = {(r.key, r.rung): (r.pattern, r.is_default) for r in pattern_ladder(df).collect()}
+    assert got == {
+        (0, "loose"): ("door.*shut", False),
+        (0, "prefix"): ("door.*", False),
+        (0, "wildcard"): (r"door\s+\S+\s+shut", False),
+        (0, "typed"): (r"door\s+\d+\s+shut", True),
+        (0, "exact"): ("(?:door 4 shut|door 9 shut)", False),
+        (1, "exact"): ("(?:tank low|valve open now)", True),
+        (2, "loose"): ("rain.*bay", True),
+        (2, "prefix"): ("rain.*", False),
+        (2, "exact"): ("(?:rain in bay 3|rain over bay 44 again)", False),
+        (3, "typed"): (r"x\(\d+\)", True),
+        (3, "exact"): (r"(?:x\(7\)|x\(81\))", False),
+    }
 
 
-def test_every_pattern_matches_its_own_messages(spark):
-    groups = {0: ["a 1 c", "a 2 c"], 1: ["Cache miss for session 12", "Cache miss for user bob in 13"], 2: ["alpha beta", "gamma delta"]}
-    df = spark.createDataFrame([(k, i, m) for k, g in groups.items() for i, m in enumerate(g)], "key int, order int, message string")
-    for r in rank_ladder(pattern_ladder(df), df).collect():
-        assert r.hits == 2, (r.key, r.rung)
+def test_every_rung_is_counted_against_its_messages(spark):
+    made = {0: ["door 4 shut", "door 9 shut"], 1: ["tank low", "valve open now"]}
+    df = spark.createDataFrame([(k, i, m) for k, g in made.items() for i, m in enumerate(g)], "key int, order int, message string")
+    assert {r.hits for r in rank_ladder(pattern_ladder(df), df).collect()} == {2}
 
 
 def test_templates_of_a_log(spark):
-    df = spark.createDataFrame([(i, f"took {i} ms" if i % 2 else "done") for i in range(10)], "i int, m string")
+    df = spark.createDataFrame([(i, f"drained {i} litres" if i % 2 else "idle") for i in range(10)], "i int, m string")
     df = df.withColumn("ts", F.expr("timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, i)"))
     got = {r.template: (r.entries, r.example, r.first_ts.second, r.last_ts.second) for r in templates(df, F.col("m"), "i").collect()}
-    assert got == {r"took\s+\d+\s+ms": (5, "took 1 ms", 1, 9), "done": (5, "done", 0, 8)}
-
-
-@pytest.mark.parametrize("seed", [1])
-def test_random_templates(spark, seed):
-    rng = random.Random(seed)
-    texts = ["".join(rng.choices("ab1.,'\"=x0-#(", k=rng.randint(1, 9))) for _ in range(3000)]
-    df = spark.createDataFrame([(t,) for t in texts], "t string")
-    for r in df.select("t", message_template(F.concat(F.lit("w "), "t")).alias("p")).collect():
-        assert r.p == r"w\s+" + lone(r.t)[0], r.t
+    assert got == {r"drained\s+\d+\s+litres": (5, "drained 1 litres", 1, 9), "idle": (5, "idle", 0, 8)}
