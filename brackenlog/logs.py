@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 
 from brackenlog.operators.detect import detect_schemas, schema_sets
-from brackenlog.operators.extract import parse
+from brackenlog.operators.extract import parse, with_fields
 from brackenlog.operators.fold import by_line_number, fold_entries
 from brackenlog.plans.builtin import ALL_SCHEMAS, BRACKETED
 from brackenlog.plans.schema import LogSchema
@@ -21,7 +21,8 @@ def open_logs(
     """Detect the schemas of every file, fold its lines and parse its entries.
 
     The paths are known to the driver already; so is then the schema set of each, and files
-    of one set are scanned together without joining the set onto every line.
+    of one set are scanned together without joining the set onto every line. ``fields`` hold
+    every field of the candidates, null where an entry has none of that name.
     """
     by_name = {s.name: s for s in [BRACKETED, *candidates]}
     detected = detect_schemas(read_heads(spark, list(dict.fromkeys(paths))), candidates)
@@ -31,7 +32,8 @@ def open_logs(
     frames = []
     for names, files in sorted(groups.items()):
         schemas = [by_name[n] for n in names]
-        frames.append(parse(fold_entries(read_lines(spark, sorted(files)), schemas), schemas))
+        parsed = parse(fold_entries(read_lines(spark, sorted(files)), schemas), schemas)
+        frames.append(with_fields(parsed, list(by_name.values())))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
@@ -46,4 +48,4 @@ def open_lines(lines: DataFrame, candidates: Sequence[LogSchema] = ALL_SCHEMAS)
     if "split" not in lines.columns:
         lines = by_line_number(lines)
     entries = fold_entries(lines.join(assigned, "source"), known, sets)
-    return parse(entries, known, sets)
+    return with_fields(parse(entries, known, sets), [*candidates, BRACKETED])

@@ -86,6 +86,17 @@ def parse(
     return df.drop("_schema", "_cells")
 
 
+def with_fields(df: DataFrame, schemas: Schemas) -> DataFrame:
+    """A parsed frame whose ``fields`` hold every field of ``schemas``, null where it was not read.
+
+    So a ``Lookup`` over the same schemas can name any of them.
+    """
+    read = df.schema["fields"].dataType.names
+    known = dict.fromkeys([*read, *(n for s in as_list(schemas) for n in s.fields)])
+    cells = [F.col("fields")[n] if n in read else F.lit(None).cast("string") for n in known]
+    return df.withColumn("fields", F.struct(*(c.alias(n) for n, c in zip(known, cells))))
+
+
 def event_time(schema: LogSchema, raw: Column, wanted=None) -> Column:
     """Time by the schema's format from its (logical) timestamp field, else off the line."""
     name = schema.concrete("timestamp")

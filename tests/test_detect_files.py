@@ -125,6 +125,16 @@ def test_a_folder_opens_with_every_file_under_its_own_schemas(spark, folder):
     assert [g[4] for g in got["cr.log"]] == ["one\rstill one", "two", ""]
 
 
+def test_fields_of_formats_that_do_not_occur_read_as_empty(spark, folder):
+    field = Lookup(ALL_SCHEMAS)
+    df = open_logs(spark, [str(folder / "b.log")])
+    names = list(dict.fromkeys(n for s in ALL_SCHEMAS for n in s.fields))
+    first = df.orderBy("entry_index").select(field("level").alias("lv"), *(field(n).alias(f"f{i}") for i, n in enumerate(names))).first()
+    assert first.lv == "Trace" and all(v is not None for v in first) and "" in tuple(first)
+    lines = read_lines(spark, [str(folder / "b.log")])
+    assert open_lines(lines).where(field("level") == "Trace").count() == 2
+
+
 def test_a_file_in_many_splits(spark, tmp_path):
     lines = [BR.format(i % 10, i) if i % 3 == 0 else f"  at {i}" for i in range(400)]
     (tmp_path / "big.log").write_text("\n".join(lines) + "\n")
