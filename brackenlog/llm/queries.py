@@ -12,6 +12,7 @@ from brackenlog.llm.near_dedup import near_duplicates
 from brackenlog.llm.quality import judge
 from brackenlog.llm.substring_dedup import dedup_substrings
 from brackenlog.llm.vector_dedup import near_duplicate_vectors
+from brackenlog.llm.whitening import whiten
 from brackenlog.session import fresh_dir
 
 _WORDS_SQL = r"list_filter(string_split_regex(coalesce({text}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -131,3 +132,8 @@ def op9_systematic_mixing(spark, sf_dir):
 def op10_adaptive_quality(spark, sf_dir):
     judged = judge(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query()
+def op13_embedding_whitening(spark, sf_dir):
+    return whiten(table(spark, sf_dir, "embeddings"))
