@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from brackenlog.catalog import query
 from brackenlog.catalog.logs import table
-from brackenlog.llm import lang_id, mixing, pieces, token_store, url_filter, warc
+from brackenlog.llm import conversation_repair, lang_id, mixing, pieces, token_store, url_filter, warc
 from brackenlog.llm.near_dedup import near_duplicates
 from brackenlog.llm.quality import judge
 from brackenlog.llm.substring_dedup import dedup_substrings
@@ -134,6 +134,49 @@ def op10_adaptive_quality(spark, sf_dir):
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+# Turn by turn instead of span by span: the least (cost, audit, repaired lines) for each situation
+# (0 start, 1 after system, 2 after user, 3 after assistant), with chains of inserted turns.
+@query(
+    r"""WITH RECURSIVE k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+b AS (SELECT *, list_reduce(list_prepend(4294967295::UBIGINT, [ascii(key[i])::UBIGINT FOR i IN range(1, strlen(key) + 1)]),
+    lambda c, x: list_reduce(list_prepend(xor(c, x), [0::UBIGINT FOR j IN range(8)]),
+      lambda d, e: xor(d >> 1, CASE WHEN d & 1 = 1 THEN 3988292384::UBIGINT ELSE 0::UBIGINT END))) AS c FROM k),
+f AS (SELECT *, xor(c, 4294967295::UBIGINT) % 20 AS fate FROM b),
+m AS (SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+    CASE fate WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(range(CASE fate WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM f),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i FROM m),
+t AS (SELECT *, left(role, 1) AS r, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS r0,
+    NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS seen,
+    NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') AS cut FROM o),
+s AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(blank) AS blank, count_if(seen AND NOT blank) AS duplicate,
+    count_if(cut AND NOT seen AND NOT blank) AS truncated, count_if(i > 1 AND r0 || r NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM t GROUP BY conv_id),
+chain(p, q, cost, audit, turns) AS (VALUES (0, 0, 0, '', []::VARCHAR[]), (1, 1, 0, '', []), (2, 2, 0, '', []), (3, 3, 0, '', []), (0, 2, 3, 'I', ['user:']), (1, 2, 3, 'I', ['user:']),
+    (3, 2, 3, 'I', ['user:']), (2, 3, 3, 'I', ['assistant:']), (0, 3, 6, 'II', ['user:', 'assistant:']), (1, 3, 6, 'II', ['user:', 'assistant:'])),
+step(r, role, p, q) AS (VALUES ('s', 'system', 0, 1), ('u', 'user', 0, 2), ('u', 'user', 1, 2), ('u', 'user', 3, 2), ('a', 'assistant', 2, 3)),
+e AS (
+  SELECT conv_id, i, p, p AS q, 4 AS cost, 'D' AS audit, []::VARCHAR[] AS turns FROM t, (VALUES (0), (1), (2), (3)) v(p)
+  UNION ALL SELECT conv_id, i, p, q, CASE WHEN cut THEN 3 ELSE 0 END, 'K', [t.role || ':' || text] FROM t JOIN step ON t.r = step.r WHERE NOT blank AND NOT seen
+  UNION ALL SELECT conv_id, i, p, q, CASE WHEN cut THEN 6 ELSE 3 END, 'R', [step.role || ':' || text] FROM t, step WHERE NOT blank AND NOT seen AND step.r <> 's'),
+x AS (SELECT conv_id, i, chain.p, e.q, chain.cost + e.cost AS cost, chain.audit || e.audit AS audit, list_concat(chain.turns, e.turns) AS turns FROM e JOIN chain ON chain.q = e.p),
+dp(conv_id, i, q, best) AS (
+  SELECT DISTINCT conv_id, 0::BIGINT, 0, {'cost': 0::BIGINT, 'audit': '', 'turns': []::VARCHAR[]} FROM t
+  UNION ALL
+  SELECT dp.conv_id, x.i, x.q, min({'cost': best.cost + x.cost, 'audit': best.audit || x.audit, 'turns': list_concat(best.turns, x.turns)})
+  FROM dp JOIN x ON x.conv_id IS NOT DISTINCT FROM dp.conv_id AND x.i = dp.i + 1 AND x.p = dp.q GROUP BY ALL),
+z AS (SELECT s.conv_id, min({'cost': best.cost + chain.cost, 'audit': best.audit || chain.audit, 'turns': list_concat(best.turns, chain.turns)}) AS best
+  FROM dp JOIN s ON s.conv_id IS NOT DISTINCT FROM dp.conv_id AND dp.i = s.n JOIN chain ON chain.p = dp.q AND chain.q IN (0, 3) GROUP BY s.conv_id)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.cost, 0) AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(best.turns, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM a.conv_id"""
+)
+def op12_conversation_repair(spark, sf_dir):
+    found = conversation_repair.repair(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
+    return found.select("conv_id", *conversation_repair.COUNTS, "gaps", "cost", "audit", "repaired_sha256")
+
+
 @query()
 def op13_embedding_whitening(spark, sf_dir):
     return whiten(table(spark, sf_dir, "embeddings"))
