@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from brackenlog.catalog import query
 from brackenlog.catalog.logs import table
-from brackenlog.llm import conversation_repair, lang_id, mixing, pieces, token_store, url_filter, warc
+from brackenlog.llm import conversation_repair, lang_id, mixing, pieces, token_store, toxicity, url_filter, warc
 from brackenlog.llm.near_dedup import near_duplicates
 from brackenlog.llm.quality import judge
 from brackenlog.llm.substring_dedup import dedup_substrings
@@ -134,6 +134,15 @@ def op10_adaptive_quality(spark, sf_dir):
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+@query()
+def op11_noisy_channel_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(~toxicity.held_out("doc_id")).select("doc_id", "toxic")
+    model = toxicity.train(docs, labels, toxicity.language_model(docs))
+    judged = toxicity.predict(docs, model).withColumn("held_out", toxicity.held_out("doc_id"))
+    return judged.select("doc_id", "held_out", "score", "predicted")
+
+
 # Turn by turn instead of span by span: the least (cost, audit, repaired lines) for each situation
 # (0 start, 1 after system, 2 after user, 3 after assistant), with chains of inserted turns.
 @query(
