@@ -131,7 +131,7 @@ def test_held_out_accuracy_on_hidden_words(spark):
 
 def test_odd_rows_and_extra_columns(spark):
     rows, labels = corpus(120, 3, hidden=False)
-    odd = [(None, "the grumblet"), (7, None), (8, ""), (8, ""), (9, "vexorius " * 50_000)]
+    odd = [(None, "the grumblet"), (1007, None), (1008, ""), (1008, ""), (1009, "vexorius " * 50_000)]
     docs = spark.createDataFrame(rows + odd, "doc_id long, text string").withColumns({"score": F.lit("x"), "toxic": F.lit(9), "predicted": F.lit(None), "restored": F.lit(1)})
     marks = spark.createDataFrame([*labels, *labels, (None, 1), (3, None)], "doc_id long, toxic int")
     model = tox.train(docs, marks, tox.language_model(docs))
