@@ -32,7 +32,7 @@ def open_logs(
     frames = []
     for names, files in sorted(groups.items()):
         schemas = [by_name[n] for n in names]
-        parsed = parse(fold_entries(read_lines(spark, sorted(files)), schemas), schemas)
+        parsed = parse(fold_entries(read_lines(spark, sorted(files)), schemas, scanned=True), schemas)
         frames.append(with_fields(parsed, list(by_name.values())))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 

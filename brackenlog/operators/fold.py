@@ -5,20 +5,33 @@ Lines carry ``source``, ``split`` (a bounded run of the source, numbered in orde
 entry is open, so a split can be summarised in one row: what it does to that state and how
 many entries it begins, in either case. A small scan over those rows tells every split
 how it is entered, and lines at its head that continue an earlier entry are sent to the
-split that entry began in. The text itself is shuffled once.
+split that entry began in.
+
+The first pass reads the flags of the lines only. Where lines come as a scan gives them, a task
+summarises its splits where they are and nothing is shuffled; lines from anywhere else shuffle
+their flags. Its result, one row per split, is written to the shared folder and counted. Up to
+``CARRY_ROWS`` of them are broadcast, so the second pass shuffles the text once; beyond that they
+are joined, and the text moves a second time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from brackenlog.functions.text import is_blank, trim_line_end
 from brackenlog.operators.extract import Schemas, _pick, as_list
 from brackenlog.plans.schema import LogSchema
+from brackenlog.session import stored
 
 SPLIT_LINES = 1 << 20
+#: Rows of about 100 bytes that may be broadcast, one for each split of a source with several. At
+#: 128 MB a split they stand for 64 TB of such sources.
+CARRY_ROWS = 500_000
 
 
 def by_line_number(lines: DataFrame, split_lines: int = SPLIT_LINES) -> DataFrame:
@@ -68,23 +81,53 @@ def _begins(is_open: Column) -> Column:
 
 
 def fold_entries(
-    lines: DataFrame, schemas: Schemas = (), sets: Sequence[Sequence[int]] | None = None
+    lines: DataFrame,
+    schemas: Schemas = (),
+    sets: Sequence[Sequence[int]] | None = None,
+    scanned: bool = False,
+    carry_rows: int = CARRY_ROWS,
 ) -> DataFrame:
     """Entries ``source, entry_index, line_no, raw`` of every source.
 
     Without schemas every line is an entry. With ``sets``, an int column ``schema_set``
-    picks the schemas of a line's source; it is kept in the result.
+    picks the schemas of a line's source; it is kept in the result. ``scanned`` says that the
+    lines of a split are together and in order, as ``read_lines`` gives them; it fails where
+    that is not so.
     """
+    flagged = flagged_lines(lines, schemas, sets)
+    summary = stored(_summary(flagged, scanned), "splits")
+    return fold_flagged(flagged, summary, scanned, carry_rows)
+
+
+def flagged_lines(
+    lines: DataFrame, schemas: Schemas = (), sets: Sequence[Sequence[int]] | None = None
+) -> DataFrame:
+    """Lines with what they do to entries: ``_st`` starts one, ``_en`` ends one, ``_skip`` is blank."""
     schemas = as_list(schemas)
     groups = [schemas] if sets is None else [[schemas[i] for i in order] for order in sets]
     keys = ["source"] if sets is None else ["source", "schema_set"]
-    flagged = lines.select(*keys, "split", "pos", "value").withColumns(
+    return lines.select(*keys, "split", "pos", "value").withColumns(
         _flags(groups, F.lit(0) if sets is None else F.col("schema_set"))
     )
-    carry = _carry(flagged)
+
+
+def fold_flagged(
+    flagged: DataFrame, summary: DataFrame, scanned: bool = False, carry_rows: int = CARRY_ROWS
+) -> DataFrame:
+    """The second pass: entries of flagged lines, from the summary of their splits."""
+    keys = [c for c in ("source", "schema_set") if c in flagged.columns]
+    carry = stored(_carry(summary), "carry")
+    if carry.count() <= carry_rows:
+        carry = F.broadcast(carry)
 
     # Lines at the head of a split that continue an entry move to the split it began in.
     entered = flagged.join(carry, ["source", "split"], "left")
+    if scanned:
+        # Were files cut or numbered anew between the passes, summaries would be missing or lines
+        # would lie outside theirs.
+        lost = F.coalesce(~F.col("pos").between(F.col("_from"), F.col("_to")), F.col("split") > 0)
+        text = F.when(lost, F.raise_error(F.lit("the splits of a file changed between two passes"))).otherwise(F.col("value"))
+        entered = entered.withColumn("value", text)
     moved = (F.col("_owner").isNotNull()) & (F.col("_first").isNull() | (F.col("pos") < F.col("_first")))
     owned = entered.withColumn("_home", F.when(moved, F.col("_owner")).otherwise(F.col("split")))
 
@@ -123,26 +166,93 @@ def fold_entries(
     )
 
 
-def _carry(flagged: DataFrame) -> DataFrame:
-    """One row per split of sources that have several: how it is entered and its offsets."""
+_SUMMARY = (
+    "source string, split long, _n long, _from long, _to long, _leaves boolean, _new_open long, _new_shut long, "
+    "_first_open long, _first_shut long, _row_open long, _row_shut long"
+)
+
+
+def _summary(flagged: DataFrame, scanned: bool) -> DataFrame:
+    """One row per split: its lines, the state it leaves (null: as it was), and, entered with an
+    entry open or shut, how many entries it begins and where the first one begins."""
+    slim = flagged.select("source", "split", "pos", "_st", "_en", "_skip")
+    if scanned:
+        return slim.mapInArrow(_summaries, _SUMMARY)
     run = Window.partitionBy("source", "split").orderBy("pos")
     before = run.rowsBetween(Window.unboundedPreceding, -1)
-    slim = (
-        flagged.select("source", "split", "pos", "_st", "_en", "_skip")
-        .withColumn("_after", _after())
+    known = (
+        slim.withColumn("_after", _after())
         .withColumn("_known", F.last("_after", ignorenulls=True).over(before))
         .withColumn("_row", F.row_number().over(run).cast("long"))
     )
     new = {
         case: _begins(F.coalesce("_known", F.lit(case == "open"))) for case in ("open", "shut")
     }
-    summary = slim.groupBy("source", "split").agg(
+    return known.groupBy("source", "split").agg(
         F.count(F.lit(1)).alias("_n"),
+        F.min("pos").alias("_from"),
+        F.max("pos").alias("_to"),
         F.max_by("_after", F.when(F.col("_after").isNotNull(), F.col("_row"))).alias("_leaves"),
         *[F.count_if(test).alias(f"_new_{case}") for case, test in new.items()],
         *[F.min(F.when(test, F.col("pos"))).alias(f"_first_{case}") for case, test in new.items()],
         *[F.min(F.when(test, F.col("_row"))).alias(f"_row_{case}") for case, test in new.items()],
     )
+
+
+def _summaries(batches):
+    """Summaries of the splits of a scan, which come together and in order."""
+    names = [c.split()[0] for c in _SUMMARY.split(",")]
+    kinds = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}
+    schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in _SUMMARY.split(",")])
+    held, done, seen = None, [], set()
+
+    def close():
+        same = held["state"]["open"] == held["state"]["shut"]
+        done.append([held["source"], held["split"], held["n"], held["from"], int(held["at"]), held["state"]["open"] if same else None, *(held[k][c] for k in ("new", "first", "row") for c in ("open", "shut"))])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        split, pos = batch.column("split").to_numpy(), batch.column("pos").to_numpy()
+        st, en, skip = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_st", "_en", "_skip"))
+        ends = pc.run_end_encode(batch.column("source")).run_ends.to_numpy()
+        cuts = np.unique(np.r_[0, ends, 1 + np.flatnonzero(split[1:] != split[:-1])]).tolist()
+        for a, b in zip(cuts, cuts[1:]):
+            key = (batch.column("source")[a].as_py(), int(split[a]))
+            if held is None or (held["source"], held["split"]) != key:
+                if held:
+                    close()
+                if key in seen:
+                    raise ValueError(f"lines of {key} are not together; fold them without scanned")
+                seen.add(key)
+                none = {"open": None, "shut": None}
+                held = {"source": key[0], "split": key[1], "n": 0, "from": int(pos[a]), "at": None, "state": {"open": True, "shut": False}, "new": {"open": 0, "shut": 0}, "first": dict(none), "row": dict(none)}
+            if (np.diff(pos[a:b]) <= 0).any() or (held["at"] is not None and pos[a] <= held["at"]):
+                raise ValueError(f"lines of {key} are not in order; fold them without scanned")
+            for case, state in held["state"].items():
+                begins, held["state"][case] = _walk(state, st[a:b], en[a:b], skip[a:b])
+                where = np.flatnonzero(begins)
+                held["new"][case] += len(where)
+                if len(where) and held["first"][case] is None:
+                    held["first"][case], held["row"][case] = int(pos[a + where[0]]), held["n"] + int(where[0]) + 1
+            held["n"] += b - a
+            held["at"] = pos[b - 1]
+    if held:
+        close()
+    yield pa.RecordBatch.from_pylist([dict(zip(names, row)) for row in done], schema)
+
+
+def _walk(is_open: bool, st: np.ndarray, en: np.ndarray, skip: np.ndarray) -> tuple[np.ndarray, bool]:
+    """Which lines begin an entry, and whether one is open after the last."""
+    decides = ~skip | en
+    last = np.maximum.accumulate(np.where(decides, np.arange(len(st)), -1))
+    after = np.where(last >= 0, ~en[last] & ~skip[last], is_open)
+    before = np.r_[is_open, after[:-1]]
+    return (~before & ~skip) | (before & st), bool(after[-1])
+
+
+def _carry(summary: DataFrame) -> DataFrame:
+    """One row per split of sources that have several: how it is entered and its offsets."""
     order = Window.partitionBy("source").orderBy("split")
     past = order.rowsBetween(Window.unboundedPreceding, -1)
     entered = (
@@ -158,6 +268,8 @@ def _carry(flagged: DataFrame) -> DataFrame:
     return entered.select(
         "source",
         "split",
+        "_from",
+        "_to",
         "_open",
         "_first",
         F.when(F.col("_open"), F.last(begun, ignorenulls=True).over(past)).alias("_owner"),
