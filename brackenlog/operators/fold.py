@@ -112,9 +112,17 @@ def flagged_lines(
 
 
 def fold_flagged(
-    flagged: DataFrame, summary: DataFrame, scanned: bool = False, carry_rows: int = CARRY_ROWS
+    flagged: DataFrame,
+    summary: DataFrame,
+    scanned: bool = False,
+    carry_rows: int = CARRY_ROWS,
+    folded_lines: bool = False,
 ) -> DataFrame:
-    """The second pass: entries of flagged lines, from the summary of their splits."""
+    """The second pass: entries of flagged lines, from the summary of their splits.
+
+    With ``folded_lines`` a line whose ``pos`` is ``-n`` stands for ``n`` lines folded before,
+    of which the summary counts the last only.
+    """
     keys = [c for c in ("source", "schema_set") if c in flagged.columns]
     carry = stored(_carry(summary), "carry")
     if carry.count() <= carry_rows:
@@ -148,13 +156,15 @@ def fold_flagged(
         .withColumn("_row", F.row_number().over(run).cast("long"))
         .filter(~F.col("_dropped"))
     )
-    head = F.col("_new")
+    head, at = F.col("_new"), F.col("_row") + F.coalesce("_lines", F.lit(0))
+    if folded_lines:
+        at = at + F.when(F.col("pos") < 0, F.col("pos") + 1).otherwise(0)
     # Grouping keys extend the window's, so entries are joined where their lines already are.
     return (
         numbered.groupBy(*keys, "_home", "_nth")
         .agg(
             F.expr("listagg(value, '\n') within group (order by split, pos)").alias("raw"),
-            F.max(F.when(head, F.col("_row") + F.coalesce("_lines", F.lit(0)))).alias("line_no"),
+            F.max(F.when(head, at)).alias("line_no"),
             F.max(F.when(head, F.coalesce("_base", F.lit(0)))).alias("_base"),
         )
         .select(
@@ -251,19 +261,32 @@ def _walk(is_open: bool, st: np.ndarray, en: np.ndarray, skip: np.ndarray) -> tu
     return (~before & ~skip) | (before & st), bool(after[-1])
 
 
-def _carry(summary: DataFrame) -> DataFrame:
-    """One row per split of sources that have several: how it is entered and its offsets."""
-    order = Window.partitionBy("source").orderBy("split")
-    past = order.rowsBetween(Window.unboundedPreceding, -1)
-    entered = (
-        summary.withColumn("_splits", F.count(F.lit(1)).over(Window.partitionBy("source")))
-        .filter("_splits > 1")
-        .withColumn("_open", F.coalesce(F.last("_leaves", ignorenulls=True).over(past), F.lit(False)))
-    )
+def _entered(summary: DataFrame) -> DataFrame:
+    """Summaries with how each split is entered, and what it then begins."""
+    past = Window.partitionBy("source").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    entered = summary.withColumn("_open", F.coalesce(F.last("_leaves", ignorenulls=True).over(past), F.lit(False)))
     for name in ("_new", "_first", "_row"):
         entered = entered.withColumn(
             name, F.when(F.col("_open"), F.col(f"{name}_open")).otherwise(F.col(f"{name}_shut"))
         )
+    return entered
+
+
+def split_ends(summary: DataFrame) -> DataFrame:
+    """``source, _lines, _entries, _open``: what each source has had after its last split, and
+    whether its last entry is open."""
+    return _entered(summary).groupBy("source").agg(
+        F.sum("_n").alias("_lines"),
+        F.sum("_new").alias("_entries"),
+        F.max_by(F.coalesce("_leaves", "_open"), "split").alias("_open"),
+    )
+
+
+def _carry(summary: DataFrame) -> DataFrame:
+    """One row per split of sources that have several: how it is entered and its offsets."""
+    several = summary.withColumn("_splits", F.count(F.lit(1)).over(Window.partitionBy("source"))).filter("_splits > 1")
+    past = Window.partitionBy("source").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    entered = _entered(several)
     begun = F.when(F.col("_new") > 0, F.col("split"))
     return entered.select(
         "source",
