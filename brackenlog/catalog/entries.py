@@ -178,9 +178,9 @@ def parsed_sink(spark, sf_dir):
 
 # ---- detection ----------------------------------------------------------------------
 
-_KINDS = """, sample AS (SELECT *, user_id % 4 = 0 OR (user_id % 4 = 3 AND event_id % 2 = 0) AS br,
-    user_id % 4 = 1 OR (user_id % 4 = 3 AND event_id % 2 = 1) AS lj FROM user_lines WHERE line_no <= 200),
-  kinds AS (SELECT source, count(*) AS n, count(*) FILTER (br) AS b, count(*) FILTER (lj) AS l FROM sample GROUP BY source)"""
+# Heads decide: a continuation line matches no schema but counts as a line.
+_KINDS = """, sample AS (SELECT *, br AND nth = 1 AS b_head, lj AND nth = 1 AS l_head FROM user_lines WHERE line_no <= 200),
+  kinds AS (SELECT source, count(*) AS n, count(*) FILTER (b_head) AS b, count(*) FILTER (l_head) AS l FROM sample GROUP BY source)"""
 _SET = """concat_ws(',', CASE WHEN b * 5 >= n THEN 'Bracketed default' END, CASE WHEN l * 5 >= n THEN 'Log4j2 Default' END)"""
 _SINGLE = "CASE WHEN b > 0 THEN 'Bracketed default' WHEN l > 0 THEN 'Log4j2 Default' ELSE 'Generic line' END"
 
@@ -203,7 +203,7 @@ def detect_choice(spark, sf_dir):
 
 
 @query(USERS + _KINDS + """ SELECT source, 'Bracketed default' AS schema_name, b AS matched, b + (NOT first_br)::BIGINT AS total
-  FROM kinds JOIN (SELECT source, br AS first_br FROM sample WHERE line_no = 1) USING (source)
+  FROM kinds JOIN (SELECT source, b_head AS first_br FROM sample WHERE line_no = 1) USING (source)
   UNION ALL SELECT source, 'Generic line', n, n FROM kinds""")
 def schema_coverage(spark, sf_dir):
     return coverage(head_sample(user_logs(spark, sf_dir)), [BRACKETED, GENERIC]).drop("_rank")
@@ -216,10 +216,11 @@ def heal_schemas(spark, sf_dir):
     return heal(assigned, head_sample(lines), ALL_SCHEMAS)
 
 
+# Entries begin at the heads of the source's formats, and at its first line whatever that is.
 @query(USERS + _KINDS + f""", sets AS (SELECT source, b * 5 >= n AS has_b, l * 5 >= n AS has_l FROM kinds),
-  seen AS (SELECT *, user_id % 4 = 0 OR (user_id % 4 = 3 AND event_id % 2 = 0) AS br, user_id % 4 = 2 AS pr FROM user_lines),
-  named AS (SELECT CASE WHEN br AND has_b THEN 'Bracketed default' WHEN pr THEN 'Generic line' WHEN has_l AND NOT br THEN 'Log4j2 Default' END AS schema_name
-    FROM seen JOIN sets USING (source))
+  seen AS (SELECT *, user_id % 4 = 2 AS pr FROM user_lines JOIN sets USING (source)),
+  named AS (SELECT CASE WHEN br AND nth = 1 AND has_b THEN 'Bracketed default' WHEN lj AND nth = 1 AND has_l THEN 'Log4j2 Default' WHEN pr THEN 'Generic line'
+    WHEN line_no = 1 THEN CASE WHEN has_b THEN 'Bracketed default' ELSE 'Log4j2 Default' END END AS schema_name FROM seen)
   SELECT schema_name, count(*) AS entries FROM named WHERE schema_name IS NOT NULL GROUP BY 1""")
 def mixed_sources(spark, sf_dir):
     """Logs of many users, each opened under the schemas its own head calls for."""

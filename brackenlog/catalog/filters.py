@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from brackenlog.catalog import query
 from brackenlog.catalog.entries import DOCS, LOG, f
-from brackenlog.catalog.logs import document_lines, event_log, spread, table, user_logs, user_logs_sql
+from brackenlog.catalog.logs import document_lines, event_log, spread, table, user_entries, user_logs_sql
 from brackenlog.operators.extract import Lookup, parse
 from brackenlog.operators.stats import count_matches, pattern_hits, preview_rows, rule_hits, rule_preview, with_rule_hits
 from brackenlog.plans.builtin import BRACKETED, GENERIC, LOG4J2, SAVED_SEARCHES
@@ -69,19 +69,19 @@ def filter_include_exclude(spark, sf_dir):
     )
 
 
-@query(f"""WITH {user_logs_sql()}, kinds AS (SELECT *, user_id % 4 = 0 OR (user_id % 4 = 3 AND event_id % 2 = 0) AS br,
-    user_id % 4 = 1 OR (user_id % 4 = 3 AND event_id % 2 = 1) AS lj FROM user_lines)
-  SELECT source, line_no FROM kinds WHERE CASE WHEN lj THEN level <> 'Trace' WHEN br THEN level = 'Error' ELSE level = 'none' END""")
+@query(f"""WITH {user_logs_sql()}
+  SELECT source, event_id, md5(value) AS raw_md5 FROM user_entries
+  WHERE CASE WHEN lj THEN level <> 'Trace' WHEN br THEN level = 'Error' ELSE level = 'none' END""")
 def filter_scoped(spark, sf_dir):
     """One rule per schema: includes of a schema leave entries of the others alone."""
     schemas = [BRACKETED, LOG4J2]
-    df = user_logs(spark, sf_dir).withColumnRenamed("value", "raw")
+    df = user_entries(spark, sf_dir)
     df = parse(df, schemas, time=False)
     rules = [
         Rule("level", "equals", "Error", "include", log_schema="Bracketed default"),
         Rule("level", "equals", "TRACE", "exclude", log_schema="Log4j2 Default"),
     ]
-    return apply_rules(df, rules, Lookup(schemas)).select("source", "line_no")
+    return apply_rules(df, rules, Lookup(schemas)).select("source", "event_id", F.md5("raw").alias("raw_md5"))
 
 
 @query(LOG + IDS + "level <> 'Trace' AND ts <= TIMESTAMP '2024-01-10'")

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Column, functions as F
 
 from brackenlog.catalog import query
-from brackenlog.catalog.entries import LOG, f
-from brackenlog.catalog.logs import rendered
-from brackenlog.operators.extract import parse
-from brackenlog.plans.builtin import BRACKETED
+from brackenlog.catalog.entries import LOG, USERS, f
+from brackenlog.catalog.logs import rendered, user_entries
+from brackenlog.operators.extract import Lookup, parse
+from brackenlog.plans.builtin import ALL_SCHEMAS, BRACKETED
 from brackenlog.plans.rules import Rule, apply_rules
+from brackenlog.plans.search import search
 from brackenlog.session import fresh_dir, shuffle_width
-from brackenlog.streaming import live
+from brackenlog.sources.tail import tail_lines
+from brackenlog.streaming import follow, live
 
 
 def spooled(spark, sf_dir, written_in_order: bool = False) -> str:
@@ -106,3 +108,37 @@ def live_timeline(spark, sf_dir):
 def live_detection(spark, sf_dir):
     """Schemas of live sources from their first segments, before the stream starts."""
     return live.detect_segments(spark, spooled(spark, sf_dir)).select("source", F.array_join("schemas", ",").alias("schemas"))
+
+
+def _followed(spark, entries, key: str) -> str:
+    """Entries written as one file for each value of ``key``, and followed to a folder."""
+    spool, folder = fresh_dir(spark, "files"), fresh_dir(spark, "followed")
+    ordered = entries.repartition(key).sortWithinPartitions(key, "event_id")
+    ordered.select(key, "raw").write.partitionBy(key).text(spool)
+    lines = tail_lines(spark, spool, recursive="true", splitBytes=1 << 20)
+    follow.follow(lines, folder, fresh_dir(spark, "progress")).awaitTermination()
+    return folder
+
+
+def _folder_of() -> Column:
+    return F.element_at(F.split("source", "/"), -2).alias("source")
+
+
+@query(_FOLDED_SQL)
+def live_tail(spark, sf_dir):
+    """Files read by byte offsets, folded a batch at a time, with the open entries at the end."""
+    folder = _followed(spark, rendered(spark, sf_dir).select("event_type", "event_id", "raw"), "event_type")
+    found = follow.followed_entries(spark, folder)
+    return found.select(_folder_of(), "entry_index", "line_no", F.md5("raw").alias("raw_md5"))
+
+
+@query(USERS + """ SELECT concat('kind=', user_id % 4) AS source, CASE WHEN br THEN 'Bracketed default' ELSE 'Log4j2 Default' END AS schema_name,
+  strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS at, md5(value) AS raw_md5
+  FROM (SELECT e.*, log.ts FROM user_entries e JOIN log USING (event_id)) WHERE level = 'Error' AND (br OR lj)""")
+def live_formats(spark, sf_dir):
+    """Live files in several formats: schemas found, lines folded, fields read, entries searched."""
+    kind = F.regexp_extract("source", r"(\d+)$", 1).cast("int") % 4
+    folder = _followed(spark, user_entries(spark, sf_dir).withColumn("kind", kind), "kind")
+    logs = follow.open_followed(spark, folder)
+    found, _ = search(logs, "level~error", Lookup([BRACKETED, *ALL_SCHEMAS]))
+    return found.select(_folder_of(), "schema_name", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), F.md5("raw").alias("raw_md5"))

@@ -123,18 +123,21 @@ _LINE = """CASE WHEN user_id % 4 = 0 OR (user_id % 4 = 3 AND event_id % 2 = 0) T
   ELSE {log4j} END"""
 
 
-def user_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbered lines ``source, line_no, value``, one source per user, head lines only."""
+def user_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole entries ``source, event_id, raw``, one source per user."""
     log4j = _LOG4J.format(sec="substring(stamp, 1, 19)", string="string")
-    df = rendered(spark, sf_dir).withColumn("raw", F.substring_index("raw", "\n", 1)).withColumn(
-        "message", F.substring_index("message", "\n", 1)
-    )
-    df = df.select(
+    return rendered(spark, sf_dir).select(
         F.concat(F.lit("user-"), F.col("user_id")).alias("source"),
         "event_id",
-        F.expr(_LINE.format(log4j=log4j)).alias("value"),
+        F.expr(_LINE.format(log4j=log4j)).alias("raw"),
     )
-    numbered = dense_position(df, "event_id")
+
+
+def user_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbered physical lines ``source, line_no, value`` of the entries of every user."""
+    df = user_entries(spark, sf_dir).select("source", "event_id", F.posexplode(F.split("raw", "\n")).alias("at", "value"))
+    # No entry of these logs has 2**10 lines, so this orders the lines of a source.
+    numbered = dense_position(df.withColumn("_order", F.col("event_id") * 1024 + F.col("at")), "_order", block=1 << 28)
     return numbered.select("source", (F.col("position") + 1).alias("line_no"), "value")
 
 
@@ -142,7 +145,9 @@ def user_logs_sql() -> str:
     log4j = _LOG4J.format(sec="strftime(ts, '%Y-%m-%d %H:%M:%S')", string="varchar")
     line = _LINE.format(log4j=log4j)
     return f"""{log_sql()},
-heads AS (SELECT * REPLACE (string_split(raw, chr(10))[1] AS raw, string_split(message, chr(10))[1] AS message) FROM log),
-user_lines AS (
-  SELECT concat('user-', user_id) AS source, user_id, event_id, level, {line} AS value,
-         row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS line_no FROM heads)"""
+user_entries AS (SELECT concat('user-', user_id) AS source, user_id, event_id, level, {line} AS value,
+    user_id % 4 = 0 OR (user_id % 4 = 3 AND event_id % 2 = 0) AS br,
+    user_id % 4 = 1 OR (user_id % 4 = 3 AND event_id % 2 = 1) AS lj FROM log),
+user_parts AS (SELECT * EXCLUDE value, unnest(string_split(value, chr(10))) AS value,
+    generate_subscripts(string_split(value, chr(10)), 1) AS nth FROM user_entries),
+user_lines AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY event_id, nth) AS line_no FROM user_parts)"""

@@ -10,6 +10,8 @@ may grow side by side in any order. A batch takes all that has been completed si
   the line does, so lines are ordered by bytes and those of a split come together and in order.
 * The driver keeps one number for each file, and reads the end of a file that has grown back to
   its last line feed.
+* With ``recursive`` files of folders below count too. Names that begin with ``_`` or ``.`` are
+  marks of writers and are left out.
 * A line that is not UTF-8 fails its batch and names its place (``utf8=replace`` reads on), and so
   does a file that shrank: its place in the file is lost.
 """
@@ -69,13 +71,14 @@ class _Tail:
     def __init__(self, options):
         self.folder = options["path"]
         self.split_bytes = int(options.get("splitBytes", SPLIT_BYTES))
+        self.recursive = options.get("recursive", "false").lower() == "true"
         self.strict = options.get("utf8", "fail") != "replace"
         self.known: dict[str, tuple[int, int]] = {}
 
     def sizes(self) -> dict[str, int]:
         system, inner = _open_system(self.folder)
-        found = system.get_file_info(pa_fs.FileSelector(inner, allow_not_found=True))
-        return {x.path: x.size for x in found if x.is_file}
+        found = system.get_file_info(pa_fs.FileSelector(inner, allow_not_found=True, recursive=self.recursive))
+        return {x.path: x.size for x in found if x.is_file and x.base_name[0] not in "._"}
 
     def complete(self) -> dict[str, int]:
         """Where the last complete line of each file ends."""
