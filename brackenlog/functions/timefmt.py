@@ -199,6 +199,11 @@ def parse_datetime_col(text: Column) -> Column:
     ]
     midnight = F.concat(value, F.lit(" 00:00"))
     tries += [parse_time(midnight, "%Y-%m-%d %H:%M"), parse_time(midnight, "%Y/%m/%d %H:%M")]
+    # The digits after a bare time count nanoseconds; its places are not those of a decimal.
+    digits = F.regexp_extract(value, r"\.([0-9]{1,9})\z", 1)
+    places = F.substring(F.lpad(digits, 9, "0"), 1, 6)
+    exact = F.concat(F.regexp_replace(value, r"\.[0-9]{1,9}\z", "."), places)
+    tries.append(F.when(digits != "", parse_time(F.concat(F.lit("1900-01-01 "), exact), "%Y-%m-%d %H:%M:%S.%f")))
     of_day = F.concat(F.lit("1900-01-01 "), value)
     tries += [parse_time(of_day, "%Y-%m-%d %H:%M:%S"), parse_time(of_day, "%Y-%m-%d %H:%M")]
     return F.coalesce(*tries)

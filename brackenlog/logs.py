@@ -22,8 +22,11 @@ def open_logs(
 
     The paths are known to the driver already; so is then the schema set of each, and files
     of one set are scanned together without joining the set onto every line. ``fields`` hold
-    every field of the candidates, null where an entry has none of that name.
+    every field of the candidates, null where an entry has none of that name. Without paths
+    there are no entries, in the same columns.
     """
+    if not paths:
+        return open_lines(spark.createDataFrame([], "source string, line_no long, value string"), candidates)
     by_name = {s.name: s for s in [BRACKETED, *candidates]}
     detected = detect_schemas(read_heads(spark, list(dict.fromkeys(paths))), candidates)
     groups: dict[tuple[str, ...], list[str]] = {}
@@ -41,6 +44,7 @@ def open_lines(lines: DataFrame, candidates: Sequence[LogSchema] = ALL_SCHEMAS)
     """``open_logs`` for lines that come from a table."""
     known = list({s.name: s for s in [*candidates, BRACKETED]}.values())
     assigned, sets = schema_sets(detect_schemas(head_sample(lines), candidates), known)
+    sets = sets or [[0]]
     # Columns are built for the schemas that occur, not for the whole library.
     used = sorted({i for order in sets for i in order})
     known = [known[i] for i in used]

@@ -118,11 +118,18 @@ def _pick(which: Column, options: list[Column]) -> Column:
 
 
 class Lookup:
-    """Reads a field of a parsed frame by its logical name; missing is the empty string."""
+    """Reads a field of a parsed frame by its logical name; missing is the empty string.
 
-    def __init__(self, schemas: Schemas | None, origin: str | None = None):
+    ``origin`` names the column that ``source`` reads. With ``frame`` a field that was not read
+    from its entries, as after ``parse(wanted=...)``, is missing too.
+    """
+
+    def __init__(self, schemas: Schemas | None, origin: str | None = None, frame: DataFrame | None = None):
         self.schemas = [] if schemas is None else as_list(schemas)
         self.origin = origin
+        self.read = None
+        if frame is not None:
+            self.read = frame.schema["fields"].dataType.names if "fields" in frame.columns else []
 
     def __call__(self, name: str) -> Column:
         if name in WHOLE_ENTRY:
@@ -140,9 +147,10 @@ class Lookup:
             case = F.when(hit, self._field(field)) if case is None else case.when(hit, self._field(field))
         return case.otherwise("")
 
-    @staticmethod
-    def _field(name: str | None) -> Column:
-        return F.lit("") if name is None else F.coalesce(F.col("fields")[name], F.lit(""))
+    def _field(self, name: str | None) -> Column:
+        if name is None or (self.read is not None and name not in self.read):
+            return F.lit("")
+        return F.coalesce(F.col("fields")[name], F.lit(""))
 
     def message(self) -> Column:
         """The message, or the whole entry where it is empty."""

@@ -30,14 +30,12 @@ BRACKETED = LogSchema(
 
 GENERIC = LogSchema(name="Generic line", template="<message>", description="One entry per line")
 
-_DATE_TIME = r"\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}"
-
 SPRING_BOOT = LogSchema(
     name="Spring Boot",
     template="<timestamp> <levelpad><level> <pid> --- [<threadpad><thread>] <module><modulepad> : <message>",
     time_format="%Y-%m-%d %H:%M:%S%.3f",
     field_patterns={
-        "timestamp": _DATE_TIME + r"\.\d{3}",
+        "timestamp": r"\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{3}",
         "levelpad": " *",
         "level": "[A-Z]+",
         "pid": r"\d+",
@@ -46,7 +44,7 @@ SPRING_BOOT = LogSchema(
         "module": r"\S+",
         "modulepad": " *",
     },
-    entry_start="^" + _DATE_TIME,
+    entry_start=r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}",
     samples=(
         Sample("2024-03-01 08:00:00.125  WARN 41 --- [           main] a.b.Shop       : low stock", "WARN"),
     ),
@@ -112,13 +110,13 @@ LOG4J2 = LogSchema(
     template="<timestamp> [<thread>] <level><levelpad> <module> - <message>",
     time_format="%Y-%m-%d %H:%M:%S,%3f",
     field_patterns={
-        "timestamp": _DATE_TIME + r",\d{3}",
+        "timestamp": r"\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2},\d{3}",
         "thread": r"[^\]]*",
         "level": "[A-Z]+",
         "levelpad": " *",
         "module": r"\S+",
     },
-    entry_start="^" + _DATE_TIME + r",\d{3}",
+    entry_start=r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2},\d{3}",
     samples=(Sample("2024-03-01 08:00:00,125 [main] DEBUG a.b.Shop - restocked", "DEBUG"),),
 )
 
