@@ -1,8 +1,10 @@
 """Quality rules whose thresholds adapt to each language and source.
 
-Every document is measured once. Mergeable KLL quantile sketches of the measures are built for
+Every document is measured once. Mergeable quantile sketches of the measures are built for
 each (language, source), merged into one for each language and one for all, and give outlier
-fences that replace fixed cutoffs. Documents are then joined with the fences of their group.
+fences that replace fixed cutoffs: a clean source gets narrow ones, a source of tables wide ones.
+Documents are then joined with the fences of their group. Sketches count values in buckets, so
+they are the same however rows are dealt, and a rerun judges alike.
 
 The sketches aggregate before the shuffle, so a source with a third of all rows sends one
 sketch per task. Measures are a few numbers per row and are written once to the shared folder,
@@ -12,12 +14,14 @@ the fences if their real size allows and splits a skewed group otherwise.
 
 from __future__ import annotations
 
+import math
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from brackenlog.llm.components import stored
 from brackenlog.llm.tokens import Fingerprints, column_bytes, mixed, rolling, runs
 from brackenlog.session import fresh_dir
 
@@ -27,13 +31,21 @@ SYMBOLS = b"#*$%&|<>"
 NO_WORD = SPACES + bytes(range(0x80, 0xC0))
 REPEAT_WINDOW = 5
 FLUSH_WORDS = 1_000_000
-SKETCH_K = 800
+#: Relative error of a quantile.
+ACCURACY = 0.005
+GAMMA = (1 + ACCURACY) / (1 - ACCURACY)
+#: The bucket of zero.
+ZERO = -1_000_000
 #: A group with fewer documents uses its language's fences, a language with fewer those of all.
 LEAST_DOCS = 40
-#: Fences lie this many interquartile ranges outside the quartiles, and never inside the slack.
+#: Fences lie this many interquartile ranges outside the quartiles; a range counts at least as the
+#: measure's slack, as a group without any spread says nothing about the next document.
 REACH = 3.0
-#: Measures with the least upper fence and, for those judged on both sides, the highest lower one.
-MEASURES = {"symbol_rate": (0.3, None), "dup_line_rate": (0.5, None), "repeat_rate": (0.2, None), "mean_word": (12.0, 2.5)}
+#: A quarter of junk or more widens a group's quartiles. So its fence is no farther out than that of
+#: all documents, or this many ranges between its median and the quartile on the other side.
+HALVES = 6.0
+#: Measures with their slack, and whether they are judged on the low side too.
+MEASURES = {"symbol_rate": (0.03, False), "dup_line_rate": (0.1, False), "repeat_rate": (0.06, False), "mean_word": (1.0, True)}
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
 
@@ -101,24 +113,59 @@ def _with_measures(counts: DataFrame) -> DataFrame:
     )
 
 
-def fences(measured: DataFrame) -> DataFrame:
+def _bucket(value: Column) -> Column:
+    return F.when(value <= 0, F.lit(ZERO)).otherwise(F.ceil(F.log(value) / F.lit(math.log(GAMMA)))).cast("int")
+
+
+def _at(bucket: Column) -> Column:
+    """The value in the middle of a bucket."""
+    return F.when(bucket == ZERO, F.lit(0.0)).otherwise(F.pow(F.lit(GAMMA), bucket) * (2 / (GAMMA + 1)))
+
+
+def sketches(measured: DataFrame) -> DataFrame:
+    """Quantile sketches of all groups: ``lang, source, measure, bucket, n``.
+
+    A sketch counts values in buckets whose width grows with the value, so its quantiles have a
+    relative error of ``ACCURACY``, and a measure has some thousand buckets at most. Sketches of
+    groups are merged by adding counts, in any order and to the same sketch.
+    """
+    each = F.array(*(F.struct(F.lit(m).alias("measure"), _bucket(F.col(m)).alias("bucket")) for m in MEASURES))
+    rows = measured.where("n_words > 0").select("lang", "source", F.explode(each).alias("m"))
+    return rows.groupBy("lang", "source", "m.measure", "m.bucket").agg(F.count(F.lit(1)).alias("n"))
+
+
+def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, n`` and the quartiles ``<measure>_q1, _q2, _q3`` of sketches merged by ``keys``."""
+    merged = sketch.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
+    own = Window.partitionBy(*keys, "measure")
+    merged = merged.withColumn("_to", F.sum("n").over(own.orderBy("bucket"))).withColumn("_all", F.sum("n").over(own))
+    found = [
+        _at(F.min(F.when((F.col("measure") == m) & (F.col("_to") >= q * F.col("_all")), F.col("bucket")))).alias(f"{m}_{name}")
+        for m in MEASURES
+        for name, q in (("q1", 0.25), ("q2", 0.5), ("q3", 0.75))
+    ]
+    return merged.groupBy(*keys).agg(F.max("_all").alias("n"), *found)
+
+
+def fences(sketch: DataFrame) -> DataFrame:
     """``lang, source`` with ``<measure>_low`` and ``<measure>_high``, from merged sketches."""
-    filled = measured.where("n_words > 0")
-    by_group = filled.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *(F.kll_sketch_agg_double(F.col(m), F.lit(SKETCH_K)).alias(m) for m in MEASURES))
-    merged = [F.sum("n").alias("n"), *(F.kll_merge_agg_double(F.col(m), F.lit(SKETCH_K)).alias(m) for m in MEASURES)]
-    by_lang = by_group.groupBy("lang").agg(*merged)
-    by_all = by_lang.agg(*merged)
 
     def prefixed(df, p):
         return df.select(*(F.col(c).alias(c if c in ("lang", "source") else p + c) for c in df.columns))
 
-    rows = prefixed(by_group, "g_").join(prefixed(by_lang, "l_").withColumnRenamed("lang", "l_lang"), F.col("lang").eqNullSafe(F.col("l_lang")), "left").join(F.broadcast(prefixed(by_all, "a_")))
+    by_lang = prefixed(quartiles(sketch, ["lang"]), "l_").withColumnRenamed("lang", "l_lang")
+    rows = prefixed(quartiles(sketch, ["lang", "source"]), "g_").join(by_lang, F.col("lang").eqNullSafe(F.col("l_lang")), "left")
+    # One row.
+    rows = rows.join(F.broadcast(prefixed(quartiles(sketch, []), "a_")))
     out = ["lang", "source"]
-    for m, (high, low) in MEASURES.items():
-        own = F.when(F.col("g_n") >= LEAST_DOCS, F.col(f"g_{m}")).when(F.col("l_n") >= LEAST_DOCS, F.col(f"l_{m}")).otherwise(F.col(f"a_{m}"))
-        q1, q3 = (F.kll_sketch_get_quantile_double(own, F.lit(q)) for q in (0.25, 0.75))
-        out.append(F.greatest(F.lit(high), q3 + REACH * (q3 - q1)).alias(f"{m}_high"))
-        out.append(F.least(F.lit(low), q1 - REACH * (q3 - q1)).alias(f"{m}_low") if low is not None else F.lit(float("-inf")).alias(f"{m}_low"))
+    for m, (slack, both) in MEASURES.items():
+        q1, q2, q3 = (F.when(F.col("g_n") >= LEAST_DOCS, F.col(f"g_{m}_{q}")).when(F.col("l_n") >= LEAST_DOCS, F.col(f"l_{m}_{q}")).otherwise(F.col(f"a_{m}_{q}")) for q in ("q1", "q2", "q3"))
+        reach = REACH * F.greatest(q3 - q1, F.lit(slack))
+        everywhere = REACH * F.greatest(F.col(f"a_{m}_q3") - F.col(f"a_{m}_q1"), F.lit(slack))
+        high = F.least(q3 + reach, F.greatest(F.col(f"a_{m}_q3") + everywhere, q2 + HALVES * (q2 - q1)))
+        low = F.greatest(q1 - reach, F.least(F.col(f"a_{m}_q1") - everywhere, q2 - HALVES * (q3 - q2)))
+        out.append(high.alias(f"{m}_high"))
+        out.append(low.alias(f"{m}_low") if both else F.lit(float("-inf")).alias(f"{m}_low"))
     return rows.select(*out)
 
 
@@ -133,7 +180,8 @@ def judge(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     folder = fresh_dir(spark, "quality")
     measure(docs, [id_column, "lang", "source"]).write.parquet(folder)
     measured = _with_measures(spark.read.parquet(folder))
-    limits = fences(measured).withColumnsRenamed({"lang": "_lang", "source": "_source"})
+    sketch = stored(sketches(measured), "quality-sketches")
+    limits = fences(sketch).withColumnsRenamed({"lang": "_lang", "source": "_source"})
     joined = measured.join(limits, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     base_failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     inside = F.lit(True)
