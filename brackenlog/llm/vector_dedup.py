@@ -1,16 +1,23 @@
 """Near-duplicate vectors by a pivot-permutation index.
 
-``pivots`` reference vectors, a bounded sample, describe every vector by its ``NEAREST`` ones in
-order. The index is the inverted list of each pivot within a label. Two vectors are compared if
-they share at least ``SHARED`` of their nearest pivots; such a pair is met in the list of every
-shared pivot and counts in that of the lowest only. Candidates are verified by cosine in double
-precision.
+Reference vectors, a bounded sample, describe every vector by its nearest ones in order. The index
+is the inverted list of each pivot within a label. Two vectors are compared if they share at least
+``SHARED`` of their nearest pivots; such a pair is met in the list of every shared pivot and counts
+in that of the lowest only. Candidates are verified by cosine in double precision.
+
+* Pivots are spread: none is within ``SPREAD`` of another, so a dense group, however many rows it
+  holds, cannot fill the sample with its own kind, among which the order of the nearest is noise.
+* The number of nearest pivots grows with that of the pivots (``nearest_of``), so that the pivots
+  two close vectors share do not get fewer with the size of the table.
+* Each length of vectors has an index of its own; one of up to ``TILE`` rows is a single list,
+  whose pairs are all compared.
 
 * Equal vectors of one label are one node with a weight, so copies cost nothing more.
 * Lists are cut into tiles of at most ``TILE`` rows, and a task compares two tiles by matrix
   products. It gives a count per vector and the links of a spanning forest of what it found,
   never all pairs, so its output is linear in its rows whatever the list holds.
-* The number of pivots grows with the vectors, so lists keep their length on spread data.
+* The number of pivots grows with the vectors, so lists keep their length on spread data. The
+  lengths of vectors are taken to be few: each has its pivots in every task.
 """
 
 from __future__ import annotations
@@ -22,25 +29,49 @@ from pyspark.sql import DataFrame, functions as F
 from brackenlog.llm.components import components, stored
 
 COSINE = 0.93
-NEAREST, SHARED = 8, 2
+SHARED = 2
 #: Vectors for each pivot, and the least and most pivots. The most bounds the sample.
 PER_PIVOT, LEAST_PIVOTS, MOST_PIVOTS = 400, 32, 1024
+#: Vectors looked at for each pivot, and the cosine that pivots do not reach between them.
+TRIED, SPREAD = 8, 0.6
 TILE = 2048
 
 
-def _nearest(pivots: np.ndarray):
-    """Ordered nearest pivots of each vector, by cosine."""
-    unit = pivots / np.linalg.norm(pivots, axis=1, keepdims=True)
-    k = min(NEAREST, len(unit))
+def nearest_of(pivots: int) -> int:
+    """How many nearest pivots describe a vector: 8 of 32, 13 of 256, 18 of 1024."""
+    return min(pivots, 8 + 2 * max(0, (pivots // 32).bit_length() - 1))
+
+
+def spread(candidates: np.ndarray, count: int) -> np.ndarray:
+    """Up to ``count`` unit vectors out of ``candidates``, in their order, none close to another."""
+    unit = candidates / np.linalg.norm(candidates, axis=1, keepdims=True)
+    free, chosen = np.ones(len(unit), bool), []
+    for i in range(len(unit)):
+        if free[i]:
+            chosen.append(i)
+            if len(chosen) == count:
+                break
+            free &= unit @ unit[i] < SPREAD
+    return unit[chosen]
+
+
+def _nearest(pivots: dict[int, np.ndarray]):
+    """Ordered nearest pivots of each vector, by cosine; the list 0 where a length has none."""
 
     def run(batches):
         for batch in batches:
             rows = batch.column("vector").to_pylist()
-            found = []
-            for a in range(0, len(rows), 4096):
-                v = np.array(rows[a : a + 4096])
-                v /= np.linalg.norm(v, axis=1, keepdims=True)
-                found += np.argsort(-(v @ unit.T), 1, kind="stable")[:, :k].astype(np.int32).tolist()
+            sizes = np.array([len(r) for r in rows])
+            found = [[0]] * len(rows)
+            for size, unit in pivots.items():
+                own, k = np.flatnonzero(sizes == size), nearest_of(len(unit))
+                for a in range(0, len(own), 4096):
+                    some = own[a : a + 4096].tolist()
+                    v = np.array([rows[i] for i in some])
+                    v /= np.linalg.norm(v, axis=1, keepdims=True)
+                    near = np.argsort(-(v @ unit.T), 1, kind="stable")[:, :k].astype(np.int32).tolist()
+                    for i, own_near in zip(some, near):
+                        found[i] = own_near
             yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("label"), batch.column("weight"), batch.column("vector"), pa.array(found, pa.list_(pa.int32()))], ["node", "label", "weight", "vector", "nearest"])
 
     return run
@@ -113,37 +144,42 @@ def usable(vector) -> F.Column:
     return F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def near_duplicate_vectors(vectors: DataFrame, threshold: float = COSINE, tile: int = TILE) -> DataFrame:
+def near_duplicate_vectors(
+    vectors: DataFrame, threshold: float = COSINE, tile: int = TILE, per_pivot: int = PER_PIVOT, most_pivots: int = MOST_PIVOTS
+) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row of ``vectors`` (``vec_id, embedding, label``).
 
     ``n_links`` counts the other rows linked directly, ``component_id`` is the smallest vec_id
     reachable by links, itself included.
 
     Defined cases: vectors that are null, zero, or hold null or non-finite components, rows with a
-    null label or vec_id, and vectors whose length differs from the most common one of all link
-    with nothing; with a null vec_id ``component_id`` is null and the row is kept. Rows that
-    repeat a vec_id count as rows, but are one node. Other columns are ignored. An empty table
-    gives an empty result.
+    null label or vec_id link with nothing, and vectors of different lengths not with each other;
+    with a null vec_id ``component_id`` is null and the row is kept. Rows that repeat a vec_id
+    count as rows, but are one node. Other columns are ignored. An empty table gives an empty
+    result.
     """
     spark = vectors.sparkSession
     given = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"), F.col("label").cast("string").alias("label"))
     fit = given.where(usable(F.col("vector")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
     classes = stored(fit.groupBy("label", "vector").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("weight")), "vector-classes")
-    size = classes.groupBy(F.size("vector").alias("size")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "size").first()
-    if size is None:
+    sizes = classes.groupBy(F.size("vector").alias("size")).agg(F.count(F.lit(1)).alias("n")).orderBy("size").collect()
+    if not sizes:
         return given.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    same = classes.where(F.size("vector") == size["size"])
-    count = min(MOST_PIVOTS, max(LEAST_PIVOTS, size["n"] // PER_PIVOT))
-    # At most MOST_PIVOTS rows come to the driver, chosen by a hash.
-    pivots = np.array([r["vector"] for r in same.select("vector", F.xxhash64("vector").alias("h")).orderBy("h", "vector").limit(count).collect()])
-    described = same.mapInArrow(_nearest(pivots), "node long, label string, weight long, vector array<double>, nearest array<int>")
+    # At most TRIED * MOST_PIVOTS rows of a length come to the driver, chosen by a hash.
+    pivots = {}
+    for r in sizes:
+        if r["n"] > tile:
+            count = min(most_pivots, max(LEAST_PIVOTS, r["n"] // per_pivot))
+            tried = classes.where(F.size("vector") == r["size"]).select("vector", F.xxhash64("vector").alias("h")).orderBy("h", "vector").limit(TRIED * count)
+            pivots[r["size"]] = spread(np.array([x["vector"] for x in tried.collect()]), count)
+    described = classes.mapInArrow(_nearest(pivots), "node long, label string, weight long, vector array<double>, nearest array<int>")
     index = stored(described, "pivot-index")
-    lists = index.select("*", F.explode("nearest").alias("pivot"))
-    lengths = index.select("label", F.explode("nearest").alias("pivot")).groupBy("label", "pivot").agg(F.ceil(F.count(F.lit(1)) / F.lit(tile)).alias("tiles"))
-    placed = lists.join(lengths, ["label", "pivot"]).withColumn("side", F.pmod(F.xxhash64("node", "pivot"), F.col("tiles")))
+    lists = index.select("*", F.size("vector").alias("size"), F.explode("nearest").alias("pivot"))
+    lengths = index.select("label", F.size("vector").alias("size"), F.explode("nearest").alias("pivot")).groupBy("label", "size", "pivot").agg(F.ceil(F.count(F.lit(1)) / F.lit(tile)).alias("tiles"))
+    placed = lists.join(lengths, ["label", "size", "pivot"]).withColumn("side", F.pmod(F.xxhash64("node", "pivot"), F.col("tiles")))
     # A row of tile s takes part in the pairs (s, t) for t >= s and (t, s) for t < s.
     sent = placed.withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))).withColumn("one", F.least("side", "t")).withColumn("two", F.greatest("side", "t"))
-    met = stored(sent.select("label", "pivot", "one", "two", "side", "node", "weight", "vector", "nearest").groupBy("label", "pivot", "one", "two").applyInArrow(_tile(threshold), "node long, other long, count long"), "vector-links")
+    met = stored(sent.select("label", "size", "pivot", "one", "two", "side", "node", "weight", "vector", "nearest").groupBy("label", "size", "pivot", "one", "two").applyInArrow(_tile(threshold), "node long, other long, count long"), "vector-links")
     counts = met.where("other IS NULL").groupBy("node").agg(F.sum("count").alias("links"))
     labels = components(met.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "n")
     named = classes.join(counts, "node", "left").join(labels, F.col("node") == F.col("n"), "left")
