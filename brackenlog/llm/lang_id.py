@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from brackenlog.llm.tokens import column_bytes
+from brackenlog.llm.tokens import column_bytes, releasing
 
 HIDDEN, SEGMENT, GROUP = 8, 128, 4096
 PAD = 256
@@ -205,12 +205,14 @@ def _segments(texts: list[bytes]):
 def sample(labelled: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Windows of at most ``ROWS_PER_LANGUAGE`` rows for each language, chosen by a hash of the text.
 
-    Languages are counted first and the rows come by a threshold on the hash, so no language's
-    rows meet in one task and the driver receives a few hundred bytes for each chosen row. The
+    The different texts of each language are counted first and come by a threshold on the hash, so
+    copies crowd nothing out, a language with few texts gives all of them, no language's rows meet
+    in one task and the driver receives a few hundred bytes for each chosen row. The
     list of languages is the domain of a label, some hundreds at most.
     """
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL AND text <> ''").withColumn("h", F.pmod(F.xxhash64("text"), F.lit(1 << 40)))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    texts = rows.select("lang", "h").distinct()
+    counts = {r["lang"]: r["n"] for r in texts.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     labels = sorted(counts)
     if not labels:
         return [], np.empty((0, WINDOW), np.int16), np.empty(0, np.int64)
@@ -251,6 +253,7 @@ def predict(docs: DataFrame, net: Network) -> DataFrame:
 
     columns = out.columns
 
+    @releasing
     def run(batches):
         for batch in batches:
             texts = column_bytes(batch, "text")

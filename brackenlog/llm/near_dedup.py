@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from brackenlog.llm.components import components, stored
-from brackenlog.llm.tokens import BASES, Fingerprints, column_bytes, mixed, runs
+from brackenlog.llm.tokens import BASES, Fingerprints, column_bytes, mixed, releasing, runs
 
 SHINGLE = 2
 THRESHOLD = 80
@@ -79,6 +79,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _signed(size: int):
+    @releasing
     def run(batches):
         memo = Fingerprints()
         for batch in batches:
@@ -106,6 +107,7 @@ def _parts(labels: np.ndarray, a: int, b: int, depth: int):
         todo += [(x, y, depth + 1) for x, y in zip(heads.tolist(), [*heads[1:].tolist(), b]) if y - x > 1]
 
 
+@releasing
 def _neighbours(batches):
     """Candidate pairs of the regions of a sorted stream, and the members of large regions."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("region", pa.binary())])
@@ -184,11 +186,17 @@ def _picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _sets(size: int):
+    @releasing
     def run(batches):
         memo = Fingerprints()
         for batch in batches:
-            for i, text in zip(batch.column("doc_id").to_pylist(), column_bytes(batch, "text")):
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([shingles(text, memo, size).tobytes()], pa.binary())], ["doc_id", "hashes"])
+            ids, found, held, first = batch.column("doc_id").to_pylist(), [], 0, 0
+            for at, text in enumerate(column_bytes(batch, "text"), 1):
+                found.append(shingles(text, memo, size).tobytes())
+                held += len(found[-1])
+                if held >= 8 << 20 or at == len(ids):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[first:at], pa.int64()), pa.array(found, pa.binary())], ["doc_id", "hashes"])
+                    found, held, first = [], 0, at
 
     return run
 
@@ -293,8 +301,28 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, size: int = SHI
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` without the documents that ``near_duplicates`` does not keep, in full rows."""
-    gone = stored(near_duplicates(docs).where("NOT kept").select("doc_id").distinct(), "near-copies")
+def keep_one(docs: DataFrame, threshold: int = THRESHOLD, size: int = SHINGLE) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates, in full rows.
+
+    The row with the smallest doc_id stays, nulls last and by a hash of the text on ties. Groups
+    are of rows, not of ids: rows that repeat a doc_id with other texts are judged by their texts,
+    and one of rows that are equal in both stays. Texts without words are near no other and stay.
+    """
+    node = F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id").cast("string"), F.col("text"))
+    keyed = docs.withColumn("__node", node)
+    names = stored(keyed.select(F.col("__node").alias("node"), F.col("doc_id").cast("long").alias("id")).groupBy("node").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")), "nodes")
+    found = near_duplicates(keyed.select(F.col("__node").alias("doc_id"), "text"), threshold, size)
+    # Rows equal in id and text are one node there; only groups of several nodes are looked at.
+    found = stored(found.select(F.col("doc_id").alias("node"), "component_id", "kept", "n_shingles").distinct(), "near-groups")
+    groups = found.where("NOT kept").select("component_id").distinct()
+    members = found.join(groups, "component_id").join(names, "node").select("component_id", "node", "id")
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "node")).alias("m")).select(F.col("m.node").alias("node"))
+    gone = stored(members.select("node").join(first, "node", "left_anti").select(F.col("node").alias("__node")), "near-copies")
     small = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(*(f"`{c}`" for c in docs.columns))
+    rest = keyed.join(F.broadcast(gone) if small else gone, "__node", "left_anti")
+    twice = stored(names.where("n > 1").join(found.where("n_shingles > 0"), "node", "left_semi").select(F.col("node").alias("__node")), "repeated-rows")
+    if not twice.isEmpty():
+        few = F.broadcast(twice) if twice.count() <= BROADCAST_IDS else twice
+        repeated = rest.join(few, "__node", "left_semi").dropDuplicates(["__node"])
+        rest = rest.join(few, "__node", "left_anti").unionByName(repeated)
+    return rest.select(*(f"`{c}`" for c in docs.columns))

@@ -6,6 +6,10 @@ A word is a maximal run of bytes other than space and ``\\x09``-``\\x0D``, which
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
+
 import numpy as np
 import pyarrow as pa
 from xxhash import xxh64_intdigest
@@ -27,6 +31,27 @@ class Fingerprints(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+def releasing(run):
+    """A task's generator that gives its freed memory back when it ends.
+
+    Workers are kept for later tasks, of other stages too; what the allocators of C and Arrow hold
+    on to would add up in them.
+    """
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
 def rolling(values: np.ndarray, size: int, base: int = BASES[0]) -> np.ndarray:
     """Hash of every window of ``size`` values, by Horner's rule over all windows at once."""
     count = len(values) - size + 1
