@@ -18,20 +18,34 @@ ORACLE_SQL = None
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops what has no letters or no language; fills null languages with the predicted one."""
+    """Drops what has no letters or no language; fills null languages with the predicted one.
+
+    Without labelled rows to learn from no language is known, and every text with a letter stays.
+    Null and empty texts go, very long ones are read whole, repeated rows are judged alike, and an
+    empty table stays empty.
+    """
     net = lang_id.train(docs.where(~lang_id.held_out("doc_id")).select("text", "lang"))
+    if not net.labels:
+        return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     found = lang_id.predict(docs, net)
     kept = found.where((F.col("lang_pred") != lang_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*(f"`{c}`" for c in docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, that with the smallest doc_id."""
-    return near_dedup.keep_one(docs)
+    """One document of each group of near-duplicates stays, that with the smallest doc_id.
+
+    Sets are of five words, and links need a similarity of 0.8. Texts without words stay, rows
+    that repeat an id are judged by their texts, and an empty table stays empty.
+    """
+    return near_dedup.keep_one(docs, threshold=80, size=5)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes passages that an earlier document holds; other texts stay as they are."""
+    """Removes passages that an earlier document holds; other texts stay as they are.
+
+    Nulls and texts without a repeated window are unchanged; a null doc_id comes after all others.
+    """
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
     found = dedup_substrings(docs, keep=others, rejoin=False)
     found = found.withColumns({"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")})
@@ -39,12 +53,12 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it; texts without words are never taken."""
     return mixing.emit(mixing.mix(docs))
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document of the mix."""
+    """Token ids of every document of the mix; null ids for a null text."""
     return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), ("doc_id", "lang", "source"))
 
 
