@@ -7,10 +7,13 @@ any length needs the memory of what is not yet decided.
 
 Where no piece of the vocabulary can cross a boundary, all paths meet for certain. Those places
 (before a run of spaces, around characters that stand in no longer piece) are found by one
-regular expression; what lies between is searched once and kept in a bounded memo.
+regular expression; what lies between is searched once and kept in a bounded memo. Segments are
+searched in sorted order, so a beginning that several share is searched once.
 
 A piece scores by the logarithm of its rank if the file holds ranks (as for merges), else by
-the file's scores. Scores are whole numbers, so equal sums tie exactly; of equal paths the one
+the file's scores. With ranks these are not the ids that merging gives: the cheapest path is
+another segmentation, about a seventh longer, and the file's normaliser is not applied, so that
+decoding is exact. Scores are whole numbers, so equal sums tie exactly; of equal paths the one
 with the longest last piece wins. Text that no piece covers is written in byte pieces, and so
 is a literal U+2581, which makes decoding exact.
 """
@@ -19,6 +22,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -31,6 +35,8 @@ SPACE = "▁"
 SCALE = 1 << 20
 MEMO_SEGMENTS = 400_000
 LONG_SEGMENT = 64
+#: Bytes of texts whose new segments are searched together.
+CHUNK = 1 << 20
 
 
 class Vocabulary:
@@ -53,7 +59,13 @@ class Vocabulary:
         # A byte costs more than any piece, so bytes are taken only where nothing else fits.
         self.byte_cost = round((max(costs, default=0) + 10) * SCALE)
         self.longest = max(map(len, self.pieces), default=1)
-        self.starts = {p[:n] for p in self.pieces for n in range(1, len(p) + 1)}
+        # A trie of the pieces: characters lead on, and "" holds the piece that ends here.
+        self.trie: dict = {}
+        for piece, found in self.pieces.items():
+            node = self.trie
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[""] = found
         self.text = {i: n.encode() for i, n in names.items()} | {i: bytes([b]) for b, i in self.bytes.items()}
         self.split = re.compile(self._boundaries(), re.S)
         self.memo: dict[str, bytes] = {}
@@ -70,43 +82,69 @@ class Vocabulary:
     def fallback(self, char: str) -> list[int]:
         return [self.bytes[b] for b in char.encode("utf-8", "surrogateescape")]
 
+    def _step(self, cost: list, back: list, open_ends: list, char: str) -> list:
+        """Takes in one character: appends the best path to the boundary behind it, and gives the
+        begins from which a piece may still grow, with how far it is, older ones first."""
+        end = len(cost)
+        best, step = None, None
+        grown = []
+        for begin, node in open_ends:
+            node = node.get(char)
+            if node is not None:
+                grown.append((begin, node))
+                found = node.get("")
+                if found is not None:
+                    total = cost[begin] + found[0]
+                    if best is None or total < best:
+                        best, step = total, (begin, (found[1],))
+        if not grown or grown[-1][0] != end - 1 or "" not in grown[-1][1]:
+            # No piece is this character alone, so it may be written in bytes.
+            ids = self.fallback(char)
+            total = cost[end - 1] + self.byte_cost * len(ids)
+            if best is None or total < best:
+                best, step = total, (end - 1, tuple(ids))
+        cost.append(best)
+        back.append(step)
+        grown.append((end, self.trie))
+        return grown
+
     def stream(self, chars: Iterable[str]) -> Iterator[list[int]]:
         """Ids of a text given character by character, as soon as they are final."""
-        pieces, starts, longest = self.pieces, self.starts, self.longest
-        text: list[str] = []  # what is not yet final
-        cost, back = [0], [(0, ())]  # best path to each boundary of it, and its last step
-        open_ends: list[tuple[int, str]] = [(0, "")]  # begins from which a piece may still grow
+        longest = self.longest
+        cost, back = [0], [(0, ())]  # best path to each boundary not yet final, and its last step
+        open_ends = [(0, self.trie)]
         for char in chars:
-            text.append(char)
-            end = len(text)
-            best, step = None, None
-            grown = []
-            for begin, prefix in open_ends:
-                piece = prefix + char
-                if piece in starts:
-                    grown.append((begin, piece))
-                    found = pieces.get(piece)
-                    if found and (best is None or cost[begin] + found[0] < best):
-                        best, step = cost[begin] + found[0], (begin, (found[1],))
-            if char not in pieces:
-                ids = self.fallback(char)
-                total = cost[end - 1] + self.byte_cost * len(ids)
-                if best is None or total < best:
-                    best, step = total, (end - 1, tuple(ids))
-            cost.append(best)
-            back.append(step)
-            open_ends = [*grown, (end, "")]
-            if end >= 2 * longest or len(grown) == 0:
+            open_ends = self._step(cost, back, open_ends, char)
+            if len(cost) > 2 * longest or len(open_ends) == 1:
                 meet = self._meeting(back, [b for b, _ in open_ends])
                 if meet:
                     yield self._path(back, meet)
-                    text = text[meet:]
                     floor = cost[meet]
                     cost = [c - floor for c in cost[meet:]]
                     back = [(0, ())] + [(b - meet, ids) for b, ids in back[meet + 1 :]]
-                    open_ends = [(b - meet, p) for b, p in open_ends]
-        if text:
-            yield self._path(back, len(text))
+                    open_ends = [(b - meet, node) for b, node in open_ends]
+        if len(back) > 1:
+            yield self._path(back, len(back) - 1)
+
+    def search(self, parts: Iterable[str]) -> Iterator[tuple[str, list[int]]]:
+        """Ids of parts, each between places where all paths meet.
+
+        Parts are taken in sorted order, and the search goes on from where the last one begins to
+        differ. A part longer than ``LONG_SEGMENT`` is streamed by itself.
+        """
+        before, cost, back, opens = "", [0], [(0, ())], [[(0, self.trie)]]
+        for part in sorted(parts):
+            if len(part) > LONG_SEGMENT:
+                yield part, [i for final in self.stream(part) for i in final]
+                continue
+            same, most = 0, min(len(before), len(part))
+            while same < most and before[same] == part[same]:
+                same += 1
+            del cost[same + 1 :], back[same + 1 :], opens[same + 1 :]
+            for char in part[same:]:
+                opens.append(self._step(cost, back, opens[-1], char))
+            before = part
+            yield part, self._path(back, len(part))
 
     @staticmethod
     def _meeting(back, ends: list[int]) -> int:
@@ -128,19 +166,34 @@ class Vocabulary:
 
     def encode(self, text: bytes) -> bytes:
         """Ids of a text as little-endian 32-bit integers; none for an empty text."""
-        if not text:
-            return b""
-        memo, out = self.memo, []
-        for part in self.split.findall(" " + text.decode("utf-8", "surrogateescape")):
-            ids = memo.get(part)
-            if ids is None:
-                ids = np.array([i for final in self.stream(part) for i in final], "<i4").tobytes()
-                if len(part) <= LONG_SEGMENT:
-                    if len(memo) >= MEMO_SEGMENTS:
-                        memo.clear()
-                    memo[part] = ids
-            out.append(ids)
-        return b"".join(out)
+        return self.checked([text])[0][0]
+
+    def checked(self, texts: list[bytes]) -> list[tuple[bytes, bool]]:
+        """Ids of each text, and whether they decode to it byte for byte.
+
+        Parts decode apart from each other, so a distinct one is decoded once, when it is searched.
+        """
+        wholes = [" " + t.decode("utf-8", "surrogateescape") if t else "" for t in texts]
+        parts = [self.split.findall(w) for w in wholes]
+        memo = self.memo
+        new = {p for own in parts for p in own if p not in memo}
+        if len(memo) + len(new) > MEMO_SEGMENTS:
+            memo.clear()
+            new = {p for own in parts for p in own}
+        broken, passing = set(), {}
+        for part, ids in self.search(new):
+            found = array("i", ids).tobytes()
+            if b"".join(map(self.text.__getitem__, ids)) != part.encode("utf-8", "surrogateescape"):
+                broken.add(part)
+            if len(part) <= LONG_SEGMENT and len(memo) < MEMO_SEGMENTS:
+                memo[part] = found
+            else:
+                passing[part] = found
+        out = []
+        for whole, own in zip(wholes, parts):
+            ids = b"".join([memo[p] if p in memo else passing[p] for p in own]) if passing else b"".join(map(memo.__getitem__, own))
+            out.append((ids, sum(map(len, own)) == len(whole) and (not broken or broken.isdisjoint(own))))
+        return out
 
     def decode(self, ids: Iterable[int]) -> bytes:
         """The text of ids, without the space that encoding put before it."""
@@ -182,15 +235,24 @@ def encode(docs: DataFrame, path: str, keys: tuple[str, ...] = ("doc_id",)) -> D
             return pa.RecordBatch.from_arrays([*columns, lists, counts, pa.array(same, pa.bool_())], [*batch.schema.names[:n], "ids", "n_tokens", "round_trip"])
 
         for batch in batches:
-            found, same, a, held = [], [], 0, 0
-            for at, text in enumerate(column_bytes(batch, "text")):
-                ids = None if text is None else tool.encode(text)
-                found.append(ids)
-                same.append(None if text is None else tool.decode(memoryview(ids).cast("i") if ids else ()) == text)
-                held += len(ids or b"")
+            texts = column_bytes(batch, "text")
+            found, same, a, held, at = [], [], 0, 0, 0
+            while at < len(texts):
+                # As many texts at once as make a chunk, at least one.
+                end, size = at, 0
+                while end < len(texts) and (end == at or size + len(texts[end] or b"") <= CHUNK):
+                    size += len(texts[end] or b"")
+                    end += 1
+                got = iter(tool.checked([t for t in texts[at:end] if t is not None]))
+                for t in texts[at:end]:
+                    ids, good = (None, None) if t is None else next(got)
+                    found.append(ids)
+                    same.append(good)
+                    held += len(ids or b"")
+                at = end
                 if held > 16 << 20:
-                    yield out(batch, a, at + 1, found, same)
-                    found, same, a, held = [], [], at + 1, 0
+                    yield out(batch, a, at, found, same)
+                    found, same, a, held = [], [], at, 0
             if found:
                 yield out(batch, a, batch.num_rows, found, same)
 
