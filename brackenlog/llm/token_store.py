@@ -21,8 +21,10 @@ shuffle of the text. A file is what one such range holds.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,8 @@ from brackenlog.session import shuffle_width
 MAGIC = b"DAC1"
 BLOCK = 512
 SEGMENT_TOKENS = 1 << 19
-MEMO_WORDS = 1_200_000
+#: Words and parts of words kept; a dictionary entry takes some 200 bytes.
+MEMO_WORDS, MEMO_PARTS = 400_000, 800_000
 END_ID = 2
 
 
@@ -122,30 +125,55 @@ def segments(data: bytes):
         at += segment.length + 1  # the sink's line feed
 
 
+#: ASCII signs that end a word, behind an ASCII letter or digit.
+_ENDING = re.compile(rb"(?<=[A-Za-z0-9])([!-/:-@\[-`{-~]+)\Z")
+
+
 class Encoder:
     """Ids of a text with a tokenizers file that drops white space, by way of a bounded memo of words.
 
-    White space separates pieces in such a vocabulary, so a text's ids are those of its words.
+    White space separates pieces in such a vocabulary, so a text's ids are those of its words. So
+    does the place between a letter or digit and the signs that end a word, where a file splits
+    letters from signs and folds case; there are far fewer words without them. A text that may
+    hold the name of a special token is taken as it stands.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo = Tokenizer.from_file(path), {}
+        self.tokenizer, self.memo, self.parts = Tokenizer.from_file(path), {}, {}
+        # Whether the file treats such endings so, tried on a few words.
+        tried = (("Ab,", ["ab", ","]), ("a9...", ["a9", "..."]), ("x!?", ["x", "!?"]), ("Q'", ["q", "'"]))
+        self.plain = all(self._ids([whole])[0] == b"".join(self._ids(parts)) for whole, parts in tried)
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in found]
 
     def encode(self, text: bytes) -> bytes:
         words, memo = text.split(), self.memo
         new = [w for w in set(words) if w not in memo]
-        if len(memo) + len(new) > MEMO_WORDS:
-            memo.clear()
-            new = list(set(words))
-        for a in range(0, len(new), 4096):
-            part = new[a : a + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-                memo[w] = np.array(e.ids, "<u4").tobytes()
+        if new:
+            if len(memo) + len(new) > MEMO_WORDS:
+                memo.clear()
+                new = list(set(words))
+            memo.update(zip(new, self._words(new, self.plain and b"<|" not in text)))
         return b"".join(map(memo.__getitem__, words))
 
+    def _words(self, words: list[bytes], plain: bool) -> list[bytes]:
+        """Ids of words; their parts are in a memo of their own, as many words share them."""
+        parts = [_ENDING.sub(rb" \1", w.lower()).split() for w in words] if plain else [[w] for w in words]
+        known = self.parts
+        new = list({p for own in parts for p in own if p not in known})
+        if len(known) + len(new) > MEMO_PARTS:
+            known.clear()
+            new = list({p for own in parts for p in own})
+        for a in range(0, len(new), 4096):
+            some = new[a : a + 4096]
+            known.update(zip(some, self._ids([p.decode("utf-8", "replace") for p in some])))
+        return [known[own[0]] if len(own) == 1 else b"".join(map(known.__getitem__, own)) for own in parts]
+
 
 _encoders: dict[str, Encoder] = {}
 
