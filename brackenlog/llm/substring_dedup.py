@@ -27,11 +27,13 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from brackenlog.llm.tokens import BASES, Fingerprints, column_bytes, mixed, rolling, runs
+from brackenlog.llm.tokens import BASES, Fingerprints, column_bytes, mixed, releasing, releasing_group, rolling, runs
 from brackenlog.session import shuffle_width
 
 WINDOW = 13
-FLUSH_WORDS = 1_500_000
+FLUSH_WORDS = 500_000
+#: Characters of text for each bucket of windows and each two groups of documents.
+BUCKET_CHARS = 5_000_000
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -137,6 +139,7 @@ def _windows(window: int, buckets: int):
         if held:
             yield table(held)
 
+    @releasing
     def run(batches):
         memo, prints, lengths, docs, total, last = Fingerprints(), [], [], [], 0, None
         for batch in batches:
@@ -160,6 +163,7 @@ def _windows(window: int, buckets: int):
     return run
 
 
+@releasing_group
 def _owned(table: pa.Table) -> pa.Table:
     """Marks of one bucket: windows whose hash a smaller document holds too."""
     out, cols = [], [[] for _ in range(5)]
@@ -199,6 +203,7 @@ _FOUND = [
 
 
 def _removed(window: int, rejoin: bool):
+    @releasing_group
     def run(docs: pa.Table, marks: pa.Table) -> pa.Table:
         docs = docs.combine_chunks()
         ids, ordinals, pos = _marks(marks.column("blob").to_pylist())
@@ -237,14 +242,16 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, keep: tuple[str, ...
     that share a doc_id, stay. Rows that repeat a doc_id with other texts are judged one by one.
     A null doc_id counts as larger than any other. An empty table gives an empty result.
     """
-    width = shuffle_width(docs.sparkSession)
+    # Buckets and groups of documents follow the amount of text, so each fits a task at any size.
+    amount = docs.agg(F.sum(F.length(F.col("text").cast("string"))).alias("n")).first()["n"] or 0
+    width = max(shuffle_width(docs.sparkSession), -(-amount // BUCKET_CHARS))
     dealt = (
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"),
             *(F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keep)),
             F.col("text").cast("string").alias("text"),
         )
-        .withColumn("dest", F.pmod(F.xxhash64("doc_id"), F.lit(2 * width)).cast("int"))
+        .withColumn("dest", F.pmod(F.xxhash64("doc_id", "text"), F.lit(2 * width)).cast("int"))
         .repartition(width, "dest")
         .sortWithinPartitions("dest", "doc_id", "text")
     )

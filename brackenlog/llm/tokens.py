@@ -15,7 +15,7 @@ import pyarrow as pa
 from xxhash import xxh64_intdigest
 
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-MEMO_WORDS = 300_000
+MEMO_WORDS = 150_000
 
 
 class Fingerprints(dict):
@@ -31,23 +31,38 @@ class Fingerprints(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-def releasing(run):
-    """A task's generator that gives its freed memory back when it ends.
+def release() -> None:
+    """Gives freed memory back. Workers are kept for later tasks, of other stages too; what the
+    allocators of C and Arrow hold on to would add up in them."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
 
-    Workers are kept for later tasks, of other stages too; what the allocators of C and Arrow hold
-    on to would add up in them.
-    """
+def releasing(run):
+    """A task's generator that gives its freed memory back when it ends."""
 
     @functools.wraps(run)
     def wrapped(batches):
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim:
-                trim(0)
+            release()
+
+    return wrapped
+
+
+def releasing_group(run):
+    """A group's function that gives its freed memory back when it ends."""
+
+    @functools.wraps(run)
+    def wrapped(*tables):
+        try:
+            return run(*tables)
+        finally:
+            release()
 
     return wrapped
 
