@@ -29,11 +29,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from brackenlog.llm.tokens import column_bytes
+from brackenlog.llm.tokens import column_bytes, releasing
 
 SPACE = "▁"
 SCALE = 1 << 20
-MEMO_SEGMENTS = 400_000
+MEMO_SEGMENTS = 200_000
 LONG_SEGMENT = 64
 #: Bytes of texts whose new segments are searched together.
 CHUNK = 1 << 20
@@ -223,6 +223,7 @@ def encode(docs: DataFrame, path: str, keys: tuple[str, ...] = ("doc_id",)) -> D
     shape = ", ".join([*(f"_k{i} {f.dataType.simpleString()}" for i, f in enumerate(given.schema.fields[:-1])), "ids array<int>, n_tokens long, round_trip boolean"])
     n = len(keys)
 
+    @releasing
     def run(batches):
         tool = vocabulary(path)
 
