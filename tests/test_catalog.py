@@ -38,3 +38,20 @@ def test_query(spark, duck, name):
 def test_entry(spark):
     assert entry.entry(spark).count() == 5
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_the_catalog_stands_without_the_training_data_operators(tmp_path):
+    """A copy without the subpackage imports, whether or not the pipeline beside it is left."""
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(os.path.join(root, "brackenlog"), tmp_path / "brackenlog", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if os.path.exists(os.path.join(root, name)):
+            shutil.copy(os.path.join(root, name), tmp_path / name)
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), any(k.startswith('op') and k[2].isdigit() or k == 'pipeline' for k in e.queries()))"], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    assert said.returncode == 0, said.stderr
+    count, left = said.stdout.split()
+    assert int(count) > 80 and left == "False"
