@@ -27,7 +27,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from brackenlog.llm.tokens import BASES, Fingerprints, column_bytes, mixed, releasing, releasing_group, rolling, runs
+from brackenlog.llm.tokens import BASES, Fingerprints, column_bytes, mixed, release, releasing, rolling, runs
 from brackenlog.session import shuffle_width
 
 WINDOW = 13
@@ -163,7 +163,6 @@ def _windows(window: int, buckets: int):
     return run
 
 
-@releasing_group
 def _owned(table: pa.Table) -> pa.Table:
     """Marks of one bucket: windows whose hash a smaller document holds too."""
     out, cols = [], [[] for _ in range(5)]
@@ -184,6 +183,13 @@ def _owned(table: pa.Table) -> pa.Table:
     return pa.table({"dest": pa.array([r[0] for r in out], pa.int32()), "blob": pa.array([r[1] for r in out], pa.binary())})
 
 
+def _bucket(table: pa.Table) -> pa.Table:
+    try:
+        return _owned(table)
+    finally:
+        release()
+
+
 def intervals(starts: np.ndarray, n: int, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Covered words as a mask, and the maximal intervals ``[start, end)`` as rows."""
     flags = np.zeros(n + 1, np.int32)
@@ -203,7 +209,6 @@ _FOUND = [
 
 
 def _removed(window: int, rejoin: bool):
-    @releasing_group
     def run(docs: pa.Table, marks: pa.Table) -> pa.Table:
         docs = docs.combine_chunks()
         ids, ordinals, pos = _marks(marks.column("blob").to_pylist())
@@ -256,8 +261,16 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, keep: tuple[str, ...
         .sortWithinPartitions("dest", "doc_id", "text")
     )
     windows = dealt.mapInArrow(_windows(window, width), "bucket int, dest int, blob binary")
-    marks = windows.groupBy("bucket").applyInArrow(_owned, "dest int, blob binary")
+    marks = windows.groupBy("bucket").applyInArrow(_bucket, "dest int, blob binary")
     kept = "".join(f"_k{i} {dealt.schema[f'_k{i}'].dataType.simpleString()}, " for i in range(len(keep)))
+    removed = _removed(window, rejoin)
+
+    def of_documents(docs: pa.Table, marks: pa.Table) -> pa.Table:
+        try:
+            return removed(docs, marks)
+        finally:
+            release()
+
     shape = f"doc_id long, {kept}n_words long, n_removed long, intervals array<struct<start:long,end:long>>, kept_text string"
-    found = dealt.groupBy("dest").cogroup(marks.groupBy("dest")).applyInArrow(_removed(window, rejoin), shape)
+    found = dealt.groupBy("dest").cogroup(marks.groupBy("dest")).applyInArrow(of_documents, shape)
     return found.select("doc_id", *(F.col(f"_k{i}").alias(k) for i, k in enumerate(keep)), "n_words", "n_removed", "intervals", "kept_text")

@@ -54,19 +54,6 @@ def releasing(run):
     return wrapped
 
 
-def releasing_group(run):
-    """A group's function that gives its freed memory back when it ends."""
-
-    @functools.wraps(run)
-    def wrapped(*tables):
-        try:
-            return run(*tables)
-        finally:
-            release()
-
-    return wrapped
-
-
 def rolling(values: np.ndarray, size: int, base: int = BASES[0]) -> np.ndarray:
     """Hash of every window of ``size`` values, by Horner's rule over all windows at once."""
     count = len(values) - size + 1
