@@ -11,10 +11,12 @@ own ``DEPTH`` min-hash values, and documents with a long common prefix there are
   split by the next value; neighbours in sorted order are candidates in any case. So pairs grow
   linearly with the documents, however large a group is.
 * Every candidate is confirmed on the full sets.
-* Regions that were too large for all pairs are looked at again where their documents still
-  fall into several components: all pairs across components are compared by signature there,
-  and those that may reach the threshold on the full sets, in the task that holds the region.
-  A link that is found joins its components, so only links that join some leave the task.
+* Regions of ``SHALLOW`` values that were too large for all pairs, dealt ones as a whole, are
+  looked at again where their documents still fall into several components: all pairs across
+  components are compared by signature there, and those that may reach the threshold on the
+  full sets. The largest component is not compared with itself. A region beyond the bounds is
+  cut into blocks and every two of them are a task's work, so that no pair is lost to the cut.
+  A link that is found joins its components, so only links that join some leave a task.
 """
 
 from __future__ import annotations
@@ -39,6 +41,8 @@ BROADCAST_IDS = 1_000_000
 #: Share of equal values, of 128, from which on a pair is confirmed: three and a half sigma below 0.8.
 SIGNATURE_SHARE = 0.676
 CHUNK = 1 << 14
+#: Bytes that name a region of ``SHALLOW`` values: its tree and those values.
+HEAD = 2 + 4 * SHALLOW
 
 _rng = np.random.default_rng(4)
 _FACTORS = _rng.integers(0, 1 << 63, TREES * DEPTH, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -109,7 +113,7 @@ def _parts(labels: np.ndarray, a: int, b: int, depth: int):
 
 @releasing
 def _neighbours(batches):
-    """Candidate pairs of the regions of a sorted stream, and the members of large regions."""
+    """Candidate pairs of the regions of a sorted stream, and the members of large or dealt regions."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("region", pa.binary())])
 
     def pairs(region: bytes, ids: np.ndarray, labels: np.ndarray):
@@ -121,7 +125,7 @@ def _neighbours(batches):
                 right.append(a + y)
         x, y = ids[np.concatenate(left)], ids[np.concatenate(right)]
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.nulls(len(x), pa.binary())], schema=schema)
-        if len(ids) > ALL_PAIRS:
+        if len(ids) > ALL_PAIRS or len(region) > HEAD:
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.nulls(len(ids), pa.int64()), pa.array([region] * len(ids))], schema=schema)
 
     held = None
@@ -137,15 +141,17 @@ def _neighbours(batches):
             if held and held[0] == regions[a]:
                 held = held[0], [*held[1], ids[a:b]], [*held[2], labels[a:b]]
                 continue
-            if held and sum(map(len, held[1])) > 1:
+            if held and (len(held[0]) > HEAD or sum(map(len, held[1])) > 1):
                 yield from pairs(held[0], np.concatenate(held[1]), np.concatenate(held[2]))
             held = regions[a], [ids[a:b]], [labels[a:b]]
-    if held and sum(map(len, held[1])) > 1:
+    if held and (len(held[0]) > HEAD or sum(map(len, held[1])) > 1):
         yield from pairs(held[0], np.concatenate(held[1]), np.concatenate(held[2]))
 
 
 def forest(reps: DataFrame, region_rows: int = REGION_ROWS, size_column: str | None = None) -> DataFrame:
-    """``a, b`` of candidates, and ``a, region`` of the members of large regions, from ``doc_id, signature``.
+    """``a, b`` of candidates, and ``a, region`` of the members of large or dealt regions, from ``doc_id, signature``.
+
+    A region is a tree and a prefix, so what was dealt shares its first ``HEAD`` bytes.
 
     ``size_column`` holds the size of a document's set, for the bound on a region.
     """
@@ -223,19 +229,53 @@ def confirm(docs: DataFrame, pairs: DataFrame, threshold: int = THRESHOLD, size:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_confirmed(threshold), "a long, b long")
 
 
+def _blocks(placed: DataFrame, sizes: DataFrame, region_rows: int) -> DataFrame:
+    """``doc_id, head, component, block, others``: regions with several components, in blocks.
+
+    A region within the bounds is one block. Others have blocks of half the bounds, first those of
+    the rest, then those of the largest component. ``others`` counts the blocks from 0 on that a
+    block is compared with: all for one of the rest, those of the rest for one of the largest.
+    """
+    rows = placed.join(sizes.select("doc_id", F.col("high").alias("size")), "doc_id")
+    parts = rows.groupBy("head", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    heads = parts.groupBy("head").agg(
+        F.sum("n").alias("n"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("components"), F.max(F.struct("n", "size", "component")).alias("top")
+    ).where("components > 1")
+
+    def needed(n, size):
+        return F.ceil(F.greatest(2 * n / F.lit(region_rows), 2 * size / F.lit(REGION_SHINGLES), F.lit(1.0)))
+
+    whole = (F.col("n") <= region_rows) & (F.col("size") <= REGION_SHINGLES)
+    rest = F.when(whole, 1).otherwise(needed(F.col("n") - F.col("top.n"), F.col("size") - F.col("top.size")))
+    main = F.when(whole, 0).otherwise(needed(F.col("top.n"), F.col("top.size")))
+    heads = heads.select("head", F.col("top.component").alias("largest"), rest.alias("rest"), main.alias("main"))
+    salt, inside = F.xxhash64("doc_id", "head"), (F.col("component") == F.col("largest")) & (F.col("main") > 0)
+    block = F.when(inside, F.col("rest") + F.pmod(salt, F.greatest("main", F.lit(1)))).otherwise(F.pmod(salt, F.col("rest")))
+    others = F.when(inside, F.col("rest")).otherwise(F.col("rest") + F.col("main"))
+    return placed.join(heads, "head").select("doc_id", "head", "component", block.cast("int").alias("block"), others.cast("int").alias("others"))
+
+
 def _across(threshold: int):
-    """Links of a region between documents that so far are in different components."""
+    """Links between documents of two blocks, or of one, that so far are in different components."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids, comp = table.column("doc_id").to_numpy(), np.unique(table.column("component").to_numpy(), return_inverse=True)[1]
-        tree = int.from_bytes(table.column("region")[0].as_py()[:2], "big")
-        signs = np.frombuffer(b"".join(table.column("signature").to_pylist()), "<u4").reshape(len(ids), TREES * DEPTH)
-        sets = [np.frombuffer(h, "<u8") for chunk in table.column("hashes").chunks for h in (v.as_buffer() for v in chunk)]
+        comp, counts = np.unique(table.column("component").to_numpy(), return_inverse=True, return_counts=True)[1:]
+        inside = comp == counts.argmax()
+        order, rest = np.argsort(inside, kind="stable"), int((~inside).sum())
+        ids, comp, block = table.column("doc_id").to_numpy()[order], comp[order], table.column("block").to_numpy()[order]
+        one = table.column("first")[0].as_py() == table.column("second")[0].as_py()
+        tree = int.from_bytes(table.column("head")[0].as_py()[:2], "big")
+        signs = np.frombuffer(b"".join(table.column("signature").to_pylist()), "<u4").reshape(len(ids), TREES * DEPTH)[order]
+        held = [np.frombuffer(h, "<u8") for chunk in table.column("hashes").chunks for h in (v.as_buffer() for v in chunk)]
+        sets = [held[k] for k in order.tolist()]
         sizes = np.array([len(s) for s in sets])
         left, right = [], []
-        for i in range(len(ids) - 1):
+        # The largest component comes last, and its documents are only partners.
+        for i in range(rest):
             j = i + 1 + np.flatnonzero(comp[i + 1 :] != comp[i])
             j = j[(100 * sizes[j] >= threshold * sizes[i]) & (100 * sizes[i] >= threshold * sizes[j])]
+            if not one:
+                j = j[block[j] != block[i]]
             for a in range(0, len(j), 1 << 12):
                 some = j[a : a + (1 << 12)]
                 same = signs[some] == signs[i]
@@ -256,7 +296,7 @@ def _across(threshold: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, size: int = SHINGLE) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, size: int = SHINGLE, region_rows: int = REGION_ROWS) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs`` (``doc_id, text``).
 
     ``component_id`` is the smallest doc_id reachable by links, itself included.
@@ -264,14 +304,15 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, size: int = SHI
     Defined cases: a null text or one without words has an empty set and is linked with nothing;
     a text with fewer words than a shingle is one shingle. A row without doc_id is linked with
     nothing and kept, its ``component_id`` is null. Rows that repeat a doc_id are judged by their
-    own texts. Other columns are ignored. An empty table gives an empty result.
+    own texts. Other columns are ignored. An empty table gives an empty result. ``region_rows``
+    bounds a task, not the result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = stored(docs.mapInArrow(_signed(size), "doc_id long, n_shingles long, digest binary, signature binary"), "signatures")
     own = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     groups = own.groupBy("n_shingles", "digest").agg(F.min(F.struct("doc_id", "signature")).alias("m"))
     reps = stored(groups.select("n_shingles", "digest", "m.doc_id", "m.signature"), "representatives")
-    found = stored(forest(reps, size_column="n_shingles"), "forest")
+    found = stored(forest(reps, region_rows, "n_shingles"), "forest")
     sizes = reps.groupBy("doc_id").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
 
     def fitting(pairs: DataFrame) -> DataFrame:
@@ -283,15 +324,16 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, size: int = SHI
     tried = stored(fitting(found.where("b IS NOT NULL AND a <> b").select("a", "b").distinct()), "pairs")
     links = stored(confirm(docs, tried, threshold, size).distinct(), "confirmed")
     labels = stored(components(links), "components")
-    members = found.where("region IS NOT NULL").select(F.col("a").alias("doc_id"), "region")
-    placed = members.join(labels, F.col("doc_id") == F.col("node"), "left").select("doc_id", "region", F.coalesce("component", "doc_id").alias("component"))
-    split = placed.groupBy("region").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("region")
-    rows = stored(placed.join(split, "region"), "split-regions")
+    members = found.where("region IS NOT NULL").select(F.col("a").alias("doc_id"), F.substring("region", 1, HEAD).alias("head")).distinct()
+    placed = members.join(labels, F.col("doc_id") == F.col("node"), "left").select("doc_id", "head", F.coalesce("component", "doc_id").alias("component"))
+    rows = stored(_blocks(stored(placed, "placed"), sizes, region_rows), "split-regions")
     if not rows.isEmpty():
         picked = _picked(docs, stored(rows.select("doc_id").distinct(), "split-ids"))
         sets = picked.select("doc_id", "text").mapInArrow(_sets(size), "doc_id long, hashes binary").where("length(hashes) > 0")
         full = stored(reps.select("doc_id", "signature").join(sets, "doc_id"), "split-sets")
-        across = rows.join(full, "doc_id").groupBy("region").applyInArrow(_across(threshold), "a long, b long")
+        pair = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda o: F.struct(F.least("block", o).alias("first"), F.greatest("block", o).alias("second")))
+        tasks = rows.select("doc_id", "head", "component", "block", F.inline(pair)).join(full, "doc_id")
+        across = tasks.groupBy("head", "first", "second").applyInArrow(_across(threshold), "a long, b long")
         more = stored(across.where("a <> b").distinct(), "links-across")
         if not more.isEmpty():
             labels = stored(components(links.unionByName(more)), "components")

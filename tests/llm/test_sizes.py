@@ -76,6 +76,40 @@ def test_one_row_of_each_group_stays_though_ids_repeat(spark):
     assert got == sorted([(3, a), (7, b), (9, None), (9, None), (9, ""), (12, "1234")], key=str)
 
 
+def near_copies(count, seed):
+    """Texts that lie on both sides of the threshold from one another, in some components, a few copies."""
+    rng = np.random.default_rng(seed)
+    base = words(0, 90)
+    rows = []
+    for k in range(count):
+        some = rng.choice(90, rng.integers(1, 12), replace=False)
+        rows.append((k, " ".join(f"v{k}q{i}" if i in some else w for i, w in enumerate(base))))
+    return rows + [(count + n, text) for n, (_, text) in enumerate(rows[::40])]
+
+
+@pytest.mark.parametrize("region_rows", [20_000, 30, 8])
+def test_no_link_is_lost_to_the_bound_on_a_region(spark, region_rows):
+    rows = near_copies(300, 6)
+    sets = [brute.shingle_set(t) for _, t in rows]
+    links = [(a, b) for b in range(len(rows)) for a in range(b) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    truth = brute.components(len(rows), links)
+    assert 5 < len(set(truth)) < len(rows) - 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, region_rows=region_rows).collect()}
+    assert [got[k] for k in range(len(rows))] == truth
+
+
+def test_blocks_meet_once_and_the_largest_component_not_itself(spark):
+    rows = [(k, b"h", 0 if k < 70 else k) for k in range(100)]
+    placed = spark.createDataFrame(rows, "doc_id long, head binary, component long")
+    sizes = spark.createDataFrame([(k, 5) for k in range(100)], "doc_id long, high long")
+    got = {r.doc_id: (r.block, r.others) for r in near_dedup._blocks(placed, sizes, 20).collect()}
+    assert {v[1] for k, v in got.items() if k < 70} == {3} and {v[1] for k, v in got.items() if k >= 70} == {10}
+    assert all(v[0] >= 3 if k < 70 else v[0] < 3 for k, v in got.items()) and len(got) == 100
+    assert {(r.block, r.others) for r in near_dedup._blocks(placed, sizes, 100).collect()} == {(0, 1)}
+    assert near_dedup._blocks(placed.where("doc_id < 70"), sizes, 20).isEmpty()
+
+
 def test_copies_crowd_no_language_out_of_the_sample(spark):
     one = frame(spark, [(1, "le même texte encore et encore", "fr", "s", 0)]).withColumn("doc_id", F.explode(F.sequence(F.lit(1), F.lit(30_000))))
     some = frame(spark, [(k, f"texte numéro {k} bien différent", "fr", "s", 0) for k in range(20)] + [(k, f"some text {k} of its own", "en", "s", 0) for k in range(300)])
