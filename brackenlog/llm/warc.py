@@ -29,6 +29,8 @@ from brackenlog.session import fresh_dir
 #: Tables of repeated payloads up to this many rows (about 100 bytes each) are broadcast.
 BROADCAST_ROWS = 200_000
 RECORDS_PER_FILE = 20_000
+#: Bytes that are inflated at a time.
+PIECE = 1 << 16
 MEMBER = b"\x1f\x8b\x08"
 VERSION = re.compile(rb"WARC/[01]\.\d+\r\n")
 _FIELD = re.compile(rb"([^\x00-\x20:\x7f]+):[ \t]*([^\r\n]*)\r\n")
@@ -145,17 +147,57 @@ def sha1(data: bytes) -> str:
 
 def _member(data: bytes, at: int) -> tuple[bytes | None, int]:
     """The gzip member at ``at``, checked by its own checksum, and where it ends."""
-    inflate = zlib.decompressobj(31)
+    inflate, out = zlib.decompressobj(31), []
+    # In pieces, so that what follows the member is neither copied nor read.
+    for here in range(at, len(data), PIECE):
+        piece = data[here : here + PIECE]
+        try:
+            out.append(inflate.decompress(piece))
+        except zlib.error:
+            break
+        if inflate.eof:
+            return b"".join(out), here + len(piece) - len(inflate.unused_data)
+    return None, at
+
+
+class _Starts:
+    """Where the next member or version line begins; each place is searched for once."""
+
+    def __init__(self, data: bytes):
+        self.data, self.member, self.line = data, -1, -1
+
+    def after(self, at: int) -> int:
+        """The first place from ``at`` on with a member that inflates or a line with a header, or the end."""
+        data = self.data
+        while True:
+            if self.member < at:
+                found = data.find(MEMBER, at)
+                self.member = len(data) if found < 0 else found
+            if self.line < at:
+                found = VERSION.search(data, at)
+                self.line = found.start() if found else len(data)
+            here = min(self.member, self.line)
+            if here == len(data) or (_has_header(data, here) if here == self.line else _opens(data, here)):
+                return here
+            at = here + 1
+
+
+def _has_header(data: bytes, at: int) -> bool:
+    version = VERSION.match(data, at)
+    return bool(_FIELD.match(data, version.end()))
+
+
+def _opens(data: bytes, at: int) -> bool:
+    """Whether a member that begins with a version line starts here."""
     try:
-        out = inflate.decompress(data[at:] if at else data)
+        return bool(VERSION.match(zlib.decompressobj(31).decompress(data[at : at + 4096], 64)))
     except zlib.error:
-        return None, at
-    return (out, len(data) - len(inflate.unused_data)) if inflate.eof else (None, at)
+        return False
 
 
 def salvage(data: bytes) -> Iterator[Record | Gap]:
     """All records of an archive and the gaps between them, in order."""
-    at = 0
+    at, starts = 0, _Starts(data)
     while at < len(data):
         if data.startswith(MEMBER, at):
             inner, end = _member(data, at)
@@ -175,29 +217,11 @@ def salvage(data: bytes) -> Iterator[Record | Gap]:
                 yield found
                 at = end
                 continue
-        to = _next(data, at + 1)
+        to = starts.after(at + 1)
         yield Gap(at, to, reason)
         at = to
 
 
-def _next(data: bytes, at: int) -> int:
-    """Where the next member that inflates or version line with a header begins, or the end."""
-    member, line = data.find(MEMBER, at), VERSION.search(data, at)
-    while member >= 0 or line:
-        if line and (member < 0 or line.start() < member):
-            if _FIELD.match(data, line.end()):
-                return line.start()
-            line = VERSION.search(data, line.end())
-        else:
-            try:
-                if VERSION.match(zlib.decompressobj(31).decompress(data[member : member + 4096], 64)):
-                    return member
-            except zlib.error:
-                pass
-            member = data.find(MEMBER, member + 1)
-    return len(data)
-
-
 _ROWS = pa.schema([("path", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("gap", pa.string()), ("fields", pa.map_(pa.string(), pa.string())), ("block", pa.binary())])
 _SHAPE = "path string, start long, end long, gap string, fields map<string,string>, block binary"
 

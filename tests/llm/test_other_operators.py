@@ -2,6 +2,7 @@ import base64
 import gzip
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -47,6 +48,18 @@ def test_salvage_recovers_what_follows_damage(members):
     check_cover(junk, found)
 
 
+def test_salvage_takes_time_in_proportion():
+    """Many members, and many gaps with no member or line after them, are read once."""
+    rng = np.random.default_rng(5)
+    member = gzip.compress(plain(1, rng.bytes(1 << 14)), 1)
+    data = member * 4000
+    began = time.monotonic()
+    assert sum(isinstance(x, warc.Record) for x in warc.salvage(data)) == 4000
+    broken = plain(2, b"x" * 3000, sha(b"y")) * 5000
+    assert sum(isinstance(x, warc.Gap) for x in warc.salvage(broken)) == 5000
+    assert time.monotonic() - began < 20 and len(data) > 60 << 20
+
+
 def test_salvage_checks_digest_header_and_length():
     bad = plain(1, b"abc", digest=sha(b"abd"))
     for broken, reason in ((bad, "wrong digest"), (plain(1, b"abc").replace(b"Content-Length", b"Content-Size"), "no content length"), (plain(1, b"abc").replace(b": 3", b": 2"), "no end of record"), (b"WARC/1.0\r\nno field\r\n\r\n", "broken header"), (plain(1, b"abc")[:-1], "truncated block")):
