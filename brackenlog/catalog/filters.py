@@ -8,6 +8,7 @@ from brackenlog.catalog import query
 from brackenlog.catalog.entries import DOCS, LOG, f
 from brackenlog.catalog.logs import document_lines, event_log, spread, table, user_entries, user_logs_sql
 from brackenlog.operators.extract import Lookup, parse
+from brackenlog.operators.rule_tables import apply_table, table_hits
 from brackenlog.operators.stats import count_matches, pattern_hits, preview_rows, rule_hits, rule_preview, with_rule_hits
 from brackenlog.plans.builtin import BRACKETED, GENERIC, LOG4J2, SAVED_SEARCHES
 from brackenlog.plans.rules import Rule, add, apply_rules, distinct_rules, hide_like, like_row, newest_time_range
@@ -147,6 +148,48 @@ def rule_hits_per_entry(spark, sf_dir):
     return df.select("entry_index", F.array_join(F.col("rule_positions").cast("array<string>"), ",").alias("rules"))
 
 
+# A rule for every customer: on threads by value and by range, on times, and some on messages.
+_MADE_RULES = {
+    "position": "cast(c_custkey as int)",
+    "field": "CASE WHEN c_custkey % 40 >= 37 THEN 'message' WHEN c_custkey % 4 = 3 THEN 'timestamp' ELSE 'thread' END",
+    "op": "CASE WHEN c_custkey % 40 = 39 THEN 'regex' WHEN c_custkey % 40 >= 37 THEN 'contains' WHEN c_custkey % 4 < 2 THEN 'equals' ELSE 'range' END",
+    "value": """CASE WHEN c_custkey % 40 = 39 THEN concat('k=[0-9]*', c_custkey % 10, ',')
+      WHEN c_custkey % 40 >= 37 THEN concat('ID=', c_custkey % 700, ' ')
+      WHEN c_custkey % 4 < 2 THEN cast(c_custkey % 400 as {string})
+      WHEN c_custkey % 4 = 2 THEN concat(c_custkey % 90, '..', c_custkey % 90 + 3)
+      WHEN c_custkey % 8 = 3 THEN concat('2024-01-', 10 + c_custkey % 5, ' .. 2024-01-', 12 + c_custkey % 5, ' 06:30')
+      ELSE concat('2024-01-0', 1 + c_custkey % 9, ' .. 2024-01-0', 1 + c_custkey % 9, ' 06:30') END""",
+    "action": "CASE WHEN c_custkey % 40 >= 37 THEN 'exclude' ELSE 'include' END",
+}
+_HELD = ["thread", "message"]
+_RULE_HITS = ", made AS (SELECT " + ", ".join(f"{c} AS {n}" for n, c in _MADE_RULES.items()).format(string="VARCHAR") + """ FROM customer),
+  bound AS (SELECT *, string_split(value, '..') AS b FROM made),
+  rules AS (SELECT *, CASE WHEN field = 'timestamp' THEN strptime(trim(b[1]), '%Y-%m-%d') END AS lo,
+    CASE WHEN field = 'timestamp' THEN strptime(trim(b[2]), '%Y-%m-%d %H:%M') END AS hi FROM bound),
+  found AS (SELECT position, action, event_id FROM rules JOIN log ON CASE WHEN field = 'timestamp' THEN ts BETWEEN lo AND hi
+    WHEN op = 'equals' THEN user_id::VARCHAR = rules.value WHEN op = 'range' THEN user_id::VARCHAR >= b[1] AND user_id::VARCHAR <= b[2]
+    WHEN op = 'contains' THEN contains(lower(message), lower(rules.value)) ELSE regexp_matches(message, rules.value) END)"""
+
+
+def made_rules(spark, sf_dir):
+    made = table(spark, sf_dir, "customer").select(*[F.expr(c.format(string="string")).alias(n) for n, c in _MADE_RULES.items()])
+    missing = F.lit(None).cast("string")
+    return made.withColumns({"log_schema": missing, "enabled": F.lit(True), "origin": missing})
+
+
+@query(LOG + _RULE_HITS + " SELECT r.position, r.action, count(event_id) AS hits FROM rules r LEFT JOIN found USING (position) GROUP BY ALL")
+def rule_table_audit(spark, sf_dir):
+    """As many rules as customers, joined as data."""
+    return table_hits(parsed(spark, sf_dir, time=True), made_rules(spark, sf_dir), f, _HELD)
+
+
+@query(LOG + _RULE_HITS + IDS + """event_id IN (SELECT event_id FROM found WHERE action = 'include')
+    AND event_id NOT IN (SELECT event_id FROM found WHERE action = 'exclude')""")
+def rule_table_filter(spark, sf_dir):
+    """The entries that as many rules leave."""
+    return apply_table(parsed(spark, sf_dir, time=True), made_rules(spark, sf_dir), f, _HELD, "entry_index").select("entry_index")
+
+
 @query(LOG + " SELECT count(*) FILTER (regexp_matches(message, 'id=\\d*7 ')) AS hits, count(*) AS shown FROM log WHERE level <> 'Trace'", name="rule_preview")
 def preview(spark, sf_dir):
     shown = apply_rules(parsed(spark, sf_dir), [Rule("level", "equals", "Trace", "exclude")], f)
