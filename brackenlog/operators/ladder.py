@@ -203,14 +203,14 @@ def common_tokens(texts: DataFrame) -> DataFrame:
     """
     ordered = texts.select(
         F.col("key"),
-        F.when(F.col("text") == "", F.array().cast("array<string>")).otherwise(F.split(squeeze(F.col("text")), " ")).alias("tokens"),
+        squeeze(F.col("text")).alias("plain"),
         "order",
     )
     key_type = texts.schema["key"].dataType.simpleString()
     return (
         ordered.repartition("key")
         .sortWithinPartitions("key", "order")
-        .select("key", "tokens")
+        .select("key", "plain")
         .mapInPandas(_fold_common, f"key {key_type}, common array<string>")
     )
 
@@ -219,19 +219,28 @@ def _fold_common(frames):
     key, common = None, None
     for frame in frames:
         done = []
-        for row_key, tokens in zip(frame["key"], frame["tokens"]):
+        for row_key, plain in zip(frame["key"], frame["plain"]):
+            if common is not None and row_key == key and not common:
+                continue
+            tokens = plain.split(" ") if plain else []
             if common is None or row_key != key:
                 if common is not None:
                     done.append((key, common))
-                key, common = row_key, list(tokens)
-            elif common:
-                common = longest_common(common, list(tokens))
+                key, common = row_key, tokens
+            elif not _holds(tokens, common):
+                common = longest_common(common, tokens)
         if done:
             yield pd.DataFrame(done, columns=["key", "common"])
     if common is not None:
         yield pd.DataFrame([(key, common)], columns=["key", "common"])
 
 
+def _holds(tokens: list, common: list) -> bool:
+    """Whether all of ``common`` is in ``tokens`` in its order; then it is their longest."""
+    rest = iter(tokens)
+    return all(t in rest for t in common)
+
+
 def longest_common(left: list, right: list) -> list:
     """Longest common subsequence; among equals, tokens of ``left`` are skipped first.
 

@@ -171,3 +171,18 @@ def test_templates_of_a_log(spark):
     df = df.withColumn("ts", F.expr("timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, i)"))
     got = {r.template: (r.entries, r.example, r.first_ts.second, r.last_ts.second) for r in templates(df, F.col("m"), "i").collect()}
     assert got == {r"drained\s+\d+\s+litres": (5, "drained 1 litres", 1, 9), "idle": (5, "idle", 0, 8)}
+
+
+def test_messages_that_hold_all_common_tokens_need_no_table(spark, monkeypatch):
+    from brackenlog.operators import ladder
+
+    rng = random.Random(5)
+    texts = [" ".join(["job", str(k), *rng.sample(["slow", "cold"], rng.randrange(3)), "done"]) for k in range(300)]
+    want = texts[0].split()
+    for text in texts[1:]:
+        want = longest_common(want, text.split())
+    calls = []
+    monkeypatch.setattr(ladder, "longest_common", lambda x, y: calls.append(1) or longest_common(x, y))
+    frames = [__import__("pandas").DataFrame({"key": ["a"] * 300 + ["b"], "plain": [*texts, ""]})]
+    got = {k: c for f in ladder._fold_common(iter(frames)) for k, c in zip(f["key"], f["common"])}
+    assert got == {"a": want, "b": []} and len(calls) <= len(texts[0].split())
