@@ -31,19 +31,26 @@ _STATE = (
 
 
 def spool_lines(
-    spark: SparkSession, spool: str, stream: bool = True, segments_per_batch: int | None = None
+    spark: SparkSession,
+    spool: str,
+    stream: bool = True,
+    segments_per_batch: int | None = None,
+    bytes_per_batch: int | None = None,
 ) -> DataFrame:
     """Lines ``source, segment, pos, value`` of spooled segments, as a stream or a batch.
 
     A segment is read whole, because its lines have no other order; the collector's
     rotation size bounds it. A batch takes all segments that are there, in whatever order they
-    were written. With ``segments_per_batch`` it takes the oldest by modification time, so each
-    source's segments must have been written in the order of their names; one that comes
-    after a later one is reported by ``fold_stream``.
+    were written. With ``segments_per_batch`` or ``bytes_per_batch`` (not both) it takes the oldest
+    by modification time, so each source's segments must have been written in the order of their
+    names; one that comes after a later one is reported by ``fold_stream``, which holds a batch of
+    a source in memory.
     """
     reader = spark.readStream if stream else spark.read
     if stream and segments_per_batch:
         reader = reader.option("maxFilesPerTrigger", segments_per_batch)
+    if stream and bytes_per_batch:
+        reader = reader.option("maxBytesPerTrigger", bytes_per_batch)
     path = F.col("_metadata.file_path")
     whole = reader.option("wholetext", "true").option("recursiveFileLookup", "true").text(spool).select(
         F.element_at(F.split(path, "/"), -2).alias("source"),
