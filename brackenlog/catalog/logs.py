@@ -135,10 +135,15 @@ def user_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def user_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbered physical lines ``source, line_no, value`` of the entries of every user."""
-    df = user_entries(spark, sf_dir).select("source", "event_id", F.posexplode(F.split("raw", "\n")).alias("at", "value"))
+    return numbered_lines(user_entries(spark, sf_dir)).select("source", "line_no", "value")
+
+
+def numbered_lines(entries: DataFrame) -> DataFrame:
+    """Physical lines of entries ``source, event_id, raw``, numbered within their source; other columns stay."""
+    df = entries.select(*[c for c in entries.columns if c != "raw"], F.posexplode(F.split("raw", "\n")).alias("at", "value"))
     # No entry of these logs has 2**10 lines, so this orders the lines of a source.
     numbered = dense_position(df.withColumn("_order", F.col("event_id") * 1024 + F.col("at")), "_order", block=1 << 28)
-    return numbered.select("source", (F.col("position") + 1).alias("line_no"), "value")
+    return numbered.withColumn("line_no", F.col("position") + 1).drop("position", "_order", "at")
 
 
 def user_logs_sql() -> str:

@@ -128,3 +128,50 @@ def test_sources_of_different_formats_fold_in_one_stream(spark, tmp_path):
     rows = live.run_to_folder(live.fold_stream(lines, [START, BOTH], sets=[[0], [1]]), str(tmp_path / "out"), str(tmp_path / "check"))
     got = sorted((r.source, r.entry_index, r.raw) for r in live.settled(rows).collect())
     assert got == [("b", 0, "{\nx\n}"), ("b", 1, "{\n}"), ("b", 2, "{"), ("s", 0, "S a\nb"), ("s", 1, "S c"), ("s", 2, "S d")]
+
+
+def events(spark, folder, n, kinds):
+    """A table of events of our own, as the catalog reads it."""
+    rows = spark.range(n).selectExpr(
+        "id AS event_id", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id) AS ts", "id % 3 AS user_id",
+        f"element_at(array({', '.join(repr(k) for k in kinds)}), cast(id % {len(kinds)} + 1 as int)) AS event_type", "1.0D AS value", "concat('{\"k\": ', id % 9, '}') AS props")
+    rows.write.parquet(f"{folder}/events.parquet")
+    return str(folder)
+
+
+def test_segments_follow_the_entries_not_the_shuffle_width(spark, tmp_path):
+    from brackenlog.catalog.live import LEAST_SEGMENTS, spooled
+
+    data = events(spark, tmp_path, 60, ["error"])
+    width = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "30")
+        folder = spooled(spark, data, written_in_order=True)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", width)
+    assert spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).count() <= LEAST_SEGMENTS
+
+
+def test_batches_bounded_by_bytes_fold_like_one_batch(spark, tmp_path):
+    import json
+
+    from brackenlog.catalog.live import spooled
+
+    folder = spooled(spark, events(spark, tmp_path, 90, ["error", "view"]), written_in_order=True)
+    got = []
+    for name, most in (("one", None), ("many", 1)):
+        lines = live.spool_lines(spark, folder, bytes_per_batch=most)
+        rows = live.run_to_folder(live.fold_stream(lines, BRACKETED), str(tmp_path / name), str(tmp_path / f"{name}-check"))
+        got.append(sorted((r.source, r.entry_index, r.line_no, r.raw) for r in live.settled(rows).collect()))
+        assert rows.filter("late_segment IS NOT NULL").isEmpty()
+    assert got[0] == got[1] and len(got[0]) == 90
+    assert len([p for p in (tmp_path / "many-check" / "commits").iterdir() if p.name.isdigit()]) > 3
+    assert json.loads((tmp_path / "many-check" / "metadata").read_text())
+
+
+def test_scoped_rules_keep_the_numbers_of_physical_lines(spark, tmp_path):
+    from brackenlog.catalog.filters import filter_scoped
+
+    # User 0 logs errors only; every third one has two lines below its head.
+    got = [r for r in filter_scoped(spark, events(spark, tmp_path, 18, ["error"])).collect() if r.source == "user-0"]
+    assert sorted((r.line_no, r.event_id) for r in got) == [(1 + i, 3 * (i // 3)) for i in range(18)]
