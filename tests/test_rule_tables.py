@@ -58,3 +58,17 @@ def test_no_entries(spark):
     df = entries(spark, 5).where("k < 0")
     assert {r.hits for r in table_hits(df, to_table(spark, RULES), f, NAMES).collect()} == {0}
     assert apply_table(df, to_table(spark, RULES), f, NAMES, "k").isEmpty()
+
+
+def test_rules_that_ask_the_same_are_one_test(spark, monkeypatch):
+    from brackenlog.operators import rule_tables
+
+    rng = random.Random(8)
+    kinds = [("message", "contains", "b "), ("message", "contains", "JOB 1"), ("message", "regex", r"\d{2}"), ("thread", "range", "1..2"), ("ts", "range", "2024-02-02 03:00..2024-02-03 04:00"), ("level", "equals", "Error")]
+    rules = [Rule(*rng.choice(kinds), "include", rng.choice([None, GENERIC.name])) for _ in range(60)]
+    held, stored = {}, rule_tables._stored
+    monkeypatch.setattr(rule_tables, "_stored", lambda df, label: held.update({label: stored(df, label)}) or held[label])
+    df = entries(spark, 100)
+    got = {r.position: r.hits for r in table_hits(df, to_table(spark, rules), f, NAMES).collect()}
+    assert got == {r.position: r.hits for r in rule_hits(df, rules, f).collect()}
+    assert held["rule-patterns"].count() <= 6
