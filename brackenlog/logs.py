@@ -12,6 +12,7 @@ from brackenlog.operators.extract import parse, with_fields
 from brackenlog.operators.fold import by_line_number, fold_entries
 from brackenlog.plans.builtin import ALL_SCHEMAS, BRACKETED
 from brackenlog.plans.schema import LogSchema
+from brackenlog.session import stored
 from brackenlog.sources.files import head_sample, read_heads, read_lines
 
 
@@ -21,7 +22,9 @@ def open_logs(
     """Detect the schemas of every file, fold its lines and parse its entries.
 
     The paths are known to the driver already; so is then the schema set of each, and files
-    of one set are scanned together without joining the set onto every line. ``fields`` hold
+    of one set are scanned together without joining the set onto every line. The lines are
+    stored before they are folded: where Spark cuts a file follows the cores it has at the
+    time, so a second scan may cut otherwise, and a live file may have grown. ``fields`` hold
     every field of the candidates, null where an entry has none of that name. Without paths
     there are no entries, in the same columns.
     """
@@ -35,7 +38,8 @@ def open_logs(
     frames = []
     for names, files in sorted(groups.items()):
         schemas = [by_name[n] for n in names]
-        parsed = parse(fold_entries(read_lines(spark, sorted(files)), schemas, scanned=True), schemas)
+        lines = stored(read_lines(spark, sorted(files)), "lines")
+        parsed = parse(fold_entries(lines, schemas), schemas)
         frames.append(with_fields(parsed, list(by_name.values())))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 

@@ -155,6 +155,22 @@ def test_a_file_in_many_splits(spark, tmp_path):
     assert got == [(i, 3 * i + 1, "\n".join(lines[3 * i : 3 * i + 3])) for i in range(134)]
 
 
+def test_a_second_scan_may_cut_files_otherwise(spark, tmp_path):
+    lines = [BR.format(i % 10, i) if i % 3 == 0 else f"  at {i}" for i in range(400)]
+    (tmp_path / "big.log").write_text("\n".join(lines) + "\n")
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        spark.conf.set("spark.sql.files.minPartitionNum", "12")
+        df = open_logs(spark, [str(tmp_path / "big.log")])
+        # What Spark does by itself when an executor with a third of the cores is lost.
+        spark.conf.set("spark.sql.files.minPartitionNum", "8")
+        got = [(r.entry_index, r.line_no, r.raw) for r in df.orderBy("entry_index").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == [(i, 3 * i + 1, "\n".join(lines[3 * i : 3 * i + 3])) for i in range(134)]
+
+
 def test_sinks(spark, folder, tmp_path):
     df = open_logs(spark, [str(folder / "b.log")])
     df = df.select("raw", "ts", Lookup(BRACKETED)("level").alias("level"))
