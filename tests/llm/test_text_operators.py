@@ -209,6 +209,25 @@ def test_directly_addressable_codes():
     assert [len(x.all()) for x in token_store.segments(both)] == [4000, 4000]
 
 
+def test_new_words_of_many_texts_are_asked_for_together(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    odd = [None, "", " \n", "<|endoftext|>, A<|ENDOFTEXT|>b x<|startoftext|>.", "Ärger!, É. ß,,  x , 漢字, S !!! a'b c'S \x1c\x1d,", "\u0301 e\u0301, İ. K. x\x00, \x7f. "]
+    texts = odd + [f"word{k}, Word{k}! and word{k % 7}... zy{'x' * k}\n" for k in range(300)] + odd
+    monkeypatch.setattr(token_store, "CHUNK_BYTES", 3000)
+    tool, alone, asked = token_store.Encoder(path), Tokenizer.from_file(path), []
+    ids = tool._ids
+    monkeypatch.setattr(tool, "_ids", lambda some: asked.append(len(some)) or ids(some))
+    for most in (800_000, 50):
+        monkeypatch.setattr(token_store, "MEMO_PARTS", most)
+        got = [list(np.frombuffer(b, "<u4")) for b in tool.encode(pa.array(texts)[1:])]
+        assert got == [alone.encode(t or "", add_special_tokens=False).ids for t in texts[1:]]
+        if most > 50:
+            assert len(asked) < 20 and sum(asked) < 800
+
+
 def test_token_files_equal_the_tokenizer(spark, tmp_path):
     from tokenizers import Tokenizer
 
