@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from brackenlog.llm.components import components, stored
 from brackenlog.llm.tokens import BASES, Fingerprints, column_bytes, mixed, releasing, runs
+from brackenlog.session import discard, fresh_dirs
 
 SHINGLE = 2
 THRESHOLD = 80
@@ -353,9 +354,12 @@ def keep_one(docs: DataFrame, threshold: int = THRESHOLD, size: int = SHINGLE) -
     node = F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id").cast("string"), F.col("text"))
     keyed = docs.withColumn("__node", node)
     names = stored(keyed.select(F.col("__node").alias("node"), F.col("doc_id").cast("long").alias("id")).groupBy("node").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")), "nodes")
-    found = near_duplicates(keyed.select(F.col("__node").alias("doc_id"), "text"), threshold, size)
+    with fresh_dirs() as steps:
+        found = near_duplicates(keyed.select(F.col("__node").alias("doc_id"), "text"), threshold, size)
     # Rows equal in id and text are one node there; only groups of several nodes are looked at.
     found = stored(found.select(F.col("doc_id").alias("node"), "component_id", "kept", "n_shingles").distinct(), "near-groups")
+    # Signatures and sets take nearly as much disk as the texts; what follows reads the groups only.
+    discard(docs.sparkSession, steps)
     groups = found.where("NOT kept").select("component_id").distinct()
     members = found.join(groups, "component_id").join(names, "node").select("component_id", "node", "id")
     first = members.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "node")).alias("m")).select(F.col("m.node").alias("node"))

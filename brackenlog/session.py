@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,9 +46,34 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_named: ContextVar[list[str] | None] = ContextVar("named", default=None)
+
+
 def fresh_dir(spark: SparkSession, label: str) -> str:
     """A new, not yet existing folder below the shared one."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if (named := _named.get()) is not None:
+        named.append(folder)
+    return folder
+
+
+@contextmanager
+def fresh_dirs() -> Iterator[list[str]]:
+    """The folders that ``fresh_dir`` names inside, in this thread; ``discard`` them when no frame reads them."""
+    folders: list[str] = []
+    token = _named.set(folders)
+    try:
+        yield folders
+    finally:
+        _named.reset(token)
+
+
+def discard(spark: SparkSession, folders: Sequence[str]) -> None:
+    """Deletes folders below the shared one."""
+    context = spark.sparkContext
+    for folder in folders:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """What must not depend on the size of a table, on copies, or on labels."""
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 from llm import brute
@@ -76,6 +78,17 @@ def test_one_row_of_each_group_stays_though_ids_repeat(spark):
     assert got == sorted([(3, a), (7, b), (9, None), (9, None), (9, ""), (12, "1234")], key=str)
 
 
+def test_what_near_duplicates_stored_on_the_way_is_given_back(spark):
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(shared.iterdir())
+    a = words(3)
+    docs = frame(spark, [(1, " ".join(a), "en", "s", 0), (2, " ".join(changed(a, [50])), "en", "s", 0), (3, " ".join(words(4)), "en", "s", 0)])
+    kept = near_dedup.keep_one(docs, size=5)
+    left = {p.name.rsplit("-", 1)[0] for p in set(shared.iterdir()) - before}
+    assert {r.doc_id for r in kept.collect()} == {1, 3}
+    assert left == {"nodes", "near-groups", "near-copies", "repeated-rows"}
+
+
 def near_copies(count, seed):
     """Texts that lie on both sides of the threshold from one another, in some components, a few copies."""
     rng = np.random.default_rng(seed)
