@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
+from brackenlog.llm.tokens import releasing
 from brackenlog.session import fresh_dir, shuffle_width
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -53,6 +54,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, most: float = MOST) -> DataFrame:
     return rows.select("source", "source_size", "docs", target.cast("double").alias("target"))
 
 
+@releasing
 def _placed(batches):
     """Adds the place of each row in its task, counted apart for each source."""
     from pyspark import TaskContext

@@ -27,6 +27,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from brackenlog.llm.tokens import column_bytes, releasing
@@ -37,6 +38,8 @@ MEMO_SEGMENTS = 200_000
 LONG_SEGMENT = 64
 #: Bytes of texts whose new segments are searched together.
 CHUNK = 1 << 20
+#: Bytes of ids that make a batch of the result; it is held several times over while it is built.
+HELD = 4 << 20
 
 
 class Vocabulary:
@@ -236,22 +239,23 @@ def encode(docs: DataFrame, path: str, keys: tuple[str, ...] = ("doc_id",)) -> D
             return pa.RecordBatch.from_arrays([*columns, lists, counts, pa.array(same, pa.bool_())], [*batch.schema.names[:n], "ids", "n_tokens", "round_trip"])
 
         for batch in batches:
-            texts = column_bytes(batch, "text")
+            sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
             found, same, a, held, at = [], [], 0, 0, 0
-            while at < len(texts):
-                # As many texts at once as make a chunk, at least one.
+            while at < len(sizes):
+                # As many texts at once as make a chunk, at least one; only those are taken out of the batch.
                 end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end] or b"") <= CHUNK):
-                    size += len(texts[end] or b"")
+                while end < len(sizes) and (end == at or size + sizes[end] <= CHUNK):
+                    size += sizes[end]
                     end += 1
-                got = iter(tool.checked([t for t in texts[at:end] if t is not None]))
-                for t in texts[at:end]:
+                texts = column_bytes(batch.slice(at, end - at), "text")
+                got = iter(tool.checked([t for t in texts if t is not None]))
+                for t in texts:
                     ids, good = (None, None) if t is None else next(got)
                     found.append(ids)
                     same.append(good)
                     held += len(ids or b"")
                 at = end
-                if held > 16 << 20:
+                if held > HELD:
                     yield out(batch, a, at, found, same)
                     found, same, a, held = [], [], at, 0
             if found:
