@@ -208,7 +208,7 @@ _loaded: dict[str, Vocabulary] = {}
 
 
 def vocabulary(path: str) -> Vocabulary:
-    """One vocabulary with its memo for each worker process, kept from task to task."""
+    """One vocabulary for each worker process, kept from task to task."""
     if path not in _loaded:
         _loaded[path] = Vocabulary(path)
     return _loaded[path]
@@ -238,28 +238,32 @@ def encode(docs: DataFrame, path: str, keys: tuple[str, ...] = ("doc_id",)) -> D
             columns = [batch.column(i).slice(a, b - a) for i in range(n)]
             return pa.RecordBatch.from_arrays([*columns, lists, counts, pa.array(same, pa.bool_())], [*batch.schema.names[:n], "ids", "n_tokens", "round_trip"])
 
-        for batch in batches:
-            sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
-            found, same, a, held, at = [], [], 0, 0, 0
-            while at < len(sizes):
-                # As many texts at once as make a chunk, at least one; only those are taken out of the batch.
-                end, size = at, 0
-                while end < len(sizes) and (end == at or size + sizes[end] <= CHUNK):
-                    size += sizes[end]
-                    end += 1
-                texts = column_bytes(batch.slice(at, end - at), "text")
-                got = iter(tool.checked([t for t in texts if t is not None]))
-                for t in texts:
-                    ids, good = (None, None) if t is None else next(got)
-                    found.append(ids)
-                    same.append(good)
-                    held += len(ids or b"")
-                at = end
-                if held > HELD:
-                    yield out(batch, a, at, found, same)
-                    found, same, a, held = [], [], at, 0
-            if found:
-                yield out(batch, a, batch.num_rows, found, same)
+        try:
+            for batch in batches:
+                sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
+                found, same, a, held, at = [], [], 0, 0, 0
+                while at < len(sizes):
+                    # As many texts at once as make a chunk, at least one; only those are taken out of the batch.
+                    end, size = at, 0
+                    while end < len(sizes) and (end == at or size + sizes[end] <= CHUNK):
+                        size += sizes[end]
+                        end += 1
+                    texts = column_bytes(batch.slice(at, end - at), "text")
+                    got = iter(tool.checked([t for t in texts if t is not None]))
+                    for t in texts:
+                        ids, good = (None, None) if t is None else next(got)
+                        found.append(ids)
+                        same.append(good)
+                        held += len(ids or b"")
+                    at = end
+                    if held > HELD:
+                        yield out(batch, a, at, found, same)
+                        found, same, a, held = [], [], at, 0
+                if found:
+                    yield out(batch, a, batch.num_rows, found, same)
+        finally:
+            # The worker serves other stages too; what it has searched would stay in it.
+            tool.memo.clear()
 
     encoded = given.mapInArrow(run, shape)
     return encoded.select(*(F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)), "ids", "n_tokens", "round_trip")

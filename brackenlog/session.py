@@ -11,6 +11,7 @@ from contextvars import ContextVar
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def builder(app: str = "brackenlog"):
@@ -85,3 +86,13 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def small_batches(spark: SparkSession, size: str = "2m") -> None:
+    """Bounds the bytes of an Arrow batch from now on, unless the session has a bound of its own.
+
+    Spark's bound is 64 MB, and a batch is held several times over: as it is built and as it is
+    read, by the executor and by the worker, for each core.
+    """
+    if spark.conf.get(BATCH_CONF, None) is None:
+        spark.conf.set(BATCH_CONF, size)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from brackenlog.llm import lang_id, mixing, near_dedup, pieces
 from brackenlog.llm.substring_dedup import dedup_substrings
-from brackenlog.session import fresh_dir
+from brackenlog.session import fresh_dir, small_batches
 
 #: A document goes if no language has this share of its positions; four in ten still leaves
 #: documents with passages in a second language.
@@ -24,6 +24,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Null and empty texts go, very long ones are read whole, repeated rows are judged alike, and an
     empty table stays empty.
     """
+    small_batches(spark)
     net = lang_id.train(docs.where(~lang_id.held_out("doc_id")).select("text", "lang"))
     if not net.labels:
         return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
@@ -38,6 +39,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Sets are of five words, and links need a similarity of 0.8. Texts without words stay, rows
     that repeat an id are judged by their texts, and an empty table stays empty.
     """
+    small_batches(spark)
     return near_dedup.keep_one(docs, threshold=80, size=5)
 
 
@@ -46,6 +48,7 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
     Nulls and texts without a repeated window are unchanged; a null doc_id comes after all others.
     """
+    small_batches(spark)
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
     found = dedup_substrings(docs, keep=others, rejoin=False)
     found = found.withColumns({"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")})
@@ -54,11 +57,13 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; texts without words are never taken."""
+    small_batches(spark)
     return mixing.emit(mixing.mix(docs))
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document of the mix; null ids for a null text."""
+    small_batches(spark)
     return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), ("doc_id", "lang", "source"))
 
 

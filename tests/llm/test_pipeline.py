@@ -1,4 +1,5 @@
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -46,3 +47,36 @@ def test_run_equals_the_stages(spark, tmp_path):
     texts = {r[0]: r[1] for r in rows}
     assert len(got) == 12 and all(tool.decode(r.ids).decode() == texts[r.doc_id] for r in got)
     assert DOCS.startswith("doc_id")
+
+
+def test_stages_take_texts_in_small_batches_unless_the_session_has_a_bound(spark, tmp_path):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    rows = [(k, f"word{k} " * 3000, "en", "s", 0) for k in range(400)]  # 10 MB
+    frame(spark, rows).coalesce(1).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+
+    def largest(batches):
+        yield pa.RecordBatch.from_pydict({"n": [max((b.nbytes for b in batches), default=0)]}, pa.schema([("n", pa.int64())]))
+
+    try:
+        for name, stage in corpus_pipeline.STAGES:
+            spark.conf.unset(key)
+            stage(spark, docs, None)
+            assert max(r.n for r in docs.mapInArrow(largest, "n long").collect()) < 4 << 20, name
+        spark.conf.set(key, "16m")
+        stage(spark, docs, None)
+        assert spark.conf.get(key) == "16m"
+    finally:
+        spark.conf.unset(key)
+
+
+def test_a_worker_keeps_no_searched_segments_after_its_task(spark):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    docs = frame(spark, [(k, f"alpha{k} beta{k}", "en", "s", 0) for k in range(40)]).repartition(4)
+    assert len(pieces.encode(docs, path).collect()) == 40
+
+    def memos(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"n": [sum(len(v.memo) for v in pieces._loaded.values())]}, pa.schema([("n", pa.int64())]))
+
+    assert {r.n for r in spark.range(0, 64, 1, 32).mapInArrow(memos, "n long").collect()} == {0}
