@@ -25,16 +25,17 @@ def open_logs(
     of one set are scanned together without joining the set onto every line. The lines are
     stored before they are folded: where Spark cuts a file follows the cores it has at the
     time, so a second scan may cut otherwise, and a live file may have grown. ``fields`` hold
-    every field of the candidates, null where an entry has none of that name. Without paths
-    there are no entries, in the same columns.
+    every field of the candidates, null where an entry has none of that name. Without paths,
+    or with empty files only, there are no entries, in the same columns.
     """
-    if not paths:
-        return open_lines(spark.createDataFrame([], "source string, line_no long, value string"), candidates)
     by_name = {s.name: s for s in [BRACKETED, *candidates]}
-    detected = detect_schemas(read_heads(spark, list(dict.fromkeys(paths))), candidates)
     groups: dict[tuple[str, ...], list[str]] = {}
-    for row in detected.collect():
-        groups.setdefault(tuple(row.schemas), []).append(row.source)
+    if paths:
+        detected = detect_schemas(read_heads(spark, list(dict.fromkeys(paths))), candidates)
+        for row in detected.collect():
+            groups.setdefault(tuple(row.schemas), []).append(row.source)
+    if not groups:
+        return open_lines(spark.createDataFrame([], "source string, line_no long, value string"), candidates)
     frames = []
     for names, files in sorted(groups.items()):
         schemas = [by_name[n] for n in names]

@@ -56,7 +56,7 @@ def read_heads(spark: SparkSession, paths: Sequence[str] | DataFrame, limit: int
 
     A Spark scan would read the files to their ends; here each task opens its share of the
     paths and stops early. Bytes that are not UTF-8 are replaced: a guess at the schema
-    should not fail on one of them.
+    should not fail on one of them. An empty file has no rows.
     """
     return _opened(spark, paths).mapInPandas(partial(_heads, limit=limit), "source string, line_no long, value string")
 
@@ -80,7 +80,8 @@ def _heads(frames, limit: int):
             if lines[-1] == b"":
                 lines.pop()
             lines = [line.decode("utf-8", "replace").rstrip("\r") for line in lines[:limit]]
-            yield pd.DataFrame({"source": path, "line_no": range(1, len(lines) + 1), "value": lines})
+            if lines:  # an empty list is a column of floats to pandas, which the worker cannot send as text
+                yield pd.DataFrame({"source": path, "line_no": range(1, len(lines) + 1), "value": lines})
 
 
 def _binary(frames):

@@ -130,6 +130,17 @@ def test_no_files_are_no_entries(spark):
     assert df.count() == 0 and {"source", "entry_index", "line_no", "raw", "schema_name", "ts", "fields"} <= set(df.columns)
 
 
+def test_empty_files_hold_no_entries(spark, folder):
+    (folder / "empty.log").write_text("")
+    empty, full = str(folder / "empty.log"), str(folder / "b.log")
+    assert read_heads(spark, [empty]).count() == 0
+    assert [os.path.basename(r.source) for r in read_heads(spark, [empty, full], limit=1).collect()] == ["b.log"]
+    entries = lambda paths: sorted((r.entry_index, r.line_no, r.raw) for r in open_logs(spark, paths).collect())
+    assert entries([empty, full]) == entries([full]) and len(entries([full])) == 2
+    df = open_logs(spark, [empty])
+    assert df.count() == 0 and set(df.columns) == set(open_logs(spark, []).columns)
+
+
 def test_fields_of_formats_that_do_not_occur_read_as_empty(spark, folder):
     field = Lookup(ALL_SCHEMAS)
     df = open_logs(spark, [str(folder / "b.log")])
