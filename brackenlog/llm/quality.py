@@ -51,8 +51,8 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_rep
 
 
 def _repeated(prints: list[np.ndarray]) -> list[int]:
-    """For each document, the words inside windows that it holds twice or more."""
-    lengths = np.array([len(p) for p in prints])
+    """For each document, the words inside windows that it holds twice or more; there may be no document."""
+    lengths = np.array([len(p) for p in prints], np.int64)
     values = np.concatenate(prints) if prints else np.empty(0, np.uint64)
     doc = np.repeat(np.arange(len(prints), dtype=np.uint64), lengths)
     count = len(values) - REPEAT_WINDOW + 1

@@ -162,6 +162,15 @@ def test_fences_follow_their_group_both_ways(spark):
     assert again == first
 
 
+def test_words_may_fill_up_with_the_last_document_of_a_batch(spark):
+    # Repeats are counted each FLUSH_WORDS words, and then nothing is left at the end of the batch.
+    many = quality.FLUSH_WORDS
+    rows = [(1, "a b c d e a b c d e", "en", "s", 0), (2, "w " * many, "en", "s", 0)]
+    got = {r.doc_id: (r.n_words, r.n_repeat_words) for r in quality.judge(frame(spark, rows).coalesce(1)).collect()}
+    assert got == {1: (10, 10), 2: (many, many)}
+    assert quality._repeated([]) == []
+
+
 def test_quantiles_are_near_those_of_the_values(spark):
     rng = np.random.default_rng(1)
     values = np.r_[np.zeros(30), rng.lognormal(size=2000)]
